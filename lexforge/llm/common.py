@@ -57,7 +57,10 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def words_of(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null: none."""
+    return F.coalesce(F.array_remove(F.split(text, f"{NOT_WORD}++"), ""), F.array().cast("array<string>"))
+
+
 def word_count(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, without building the list of words; null: 0."""
-    left = F.ltrim(F.coalesce(text, F.lit("")), F.lit(WHITE_SPACE))
-    return F.length(F.regexp_replace(left, f"{WORD}++{NOT_WORD}*+", "x")).cast("long")
+    return F.size(words_of(text)).cast("long")

@@ -94,5 +94,5 @@ def mix(docs: DataFrame) -> DataFrame:
     pieces = placed.withColumn("block", F.explode_outer(span))
     lo, hi = F.greatest(F.col("from") - F.col("block") * BLOCK_WORDS, F.lit(0)), F.least(F.col("from") + F.col("size") - F.col("block") * BLOCK_WORDS, F.lit(BLOCK_WORDS))
     used = pieces.join(schedule(targets).select("sid", "block", "take"), ["sid", "block"], "left")
-    part = F.coalesce(F.greatest(F.least(hi, F.col("take")) - lo, F.lit(0)), F.lit(0))
+    part = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least(hi, "take") - lo, F.lit(0)))
     return used.groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(part).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")

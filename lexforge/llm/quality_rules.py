@@ -23,41 +23,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, WHITE_SPACE, WORD, cut
+from .common import WORD, cut, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST, STEPS, H = 100, 3, 0.75
 #: Squared distance beyond which a document on the bad side is rejected; least spread of each statistic.
 CUT = 60.0
-STATS = {"length": 0.5, "word_length": 0.15, "symbols": 0.25, "marks": 0.25, "capitals": 0.08, "repeats": 0.15, "dup_lines": 0.15}
+STATS = {"length": 0.5, "word_length": 0.15, "symbols": 0.25, "marks": 0.25, "capitals": 0.15, "repeats": 0.15, "dup_lines": 0.15}
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` computed once and called ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def base_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns as struct ``row``, lang, source, and the counts of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"), text.alias("t"))
-    trimmed = F.btrim(F.col("t"), F.lit(WHITE_SPACE))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{NOT_WORD}+"))
-    # Each word becomes a number, each window of eight a number; `x` names the array once, so that it is computed once.
-    eight = ", ".join(f"x[i + {k}]" for k in range(WINDOW))
-    windows = f"transform(array(transform(words, w -> xxhash64(w))), x -> transform(sequence(0, size(x) - {WINDOW}), i -> xxhash64({eight})))[0]"
+    # Each word becomes a number; a hash of four neighbours, then of two such four apart, names a window of eight.
+    fours = "transform(x, (w, i) -> xxhash64(w, get(x, i + 1), get(x, i + 2), get(x, i + 3)))"
+    windows = _let("transform(words, w -> xxhash64(w))", "x", _let(fours, "y", "slice(transform(y, (w, i) -> xxhash64(w, get(y, i + 4))), 1, greatest(size(y) - 7, 0))"))
     # Windows that occur twice: sort (hash, place), keep those with an equal neighbour, and count the words that they cover.
-    twice = "transform(array(array_sort(transform(v, (a, i) -> struct(a as a, i as i)))), s -> transform(filter(sequence(0, size(s) - 1), j -> s[j].a <=> get(s, j - 1).a or s[j].a <=> get(s, j + 1).a), j -> s[j].i))[0]"
-    covered = f"aggregate(array_sort({twice}), struct(0L as n, -{WINDOW} as p), (c, q) -> struct(c.n + least({WINDOW}, q - c.p) as n, q as p), c -> c.n)"
-    repeated = f"CASE WHEN n_words < {WINDOW + 1} THEN 0L ELSE transform(array({windows}), v -> CASE WHEN size(array_distinct(v)) = size(v) THEN 0L ELSE {covered} END)[0] END"
+    twice = "transform(filter(sequence(0, size(s) - 1), j -> s[j].a <=> get(s, j - 1).a or s[j].a <=> get(s, j + 1).a), j -> s[j].i)"
+    twice = _let("sort_array(transform(v, (a, i) -> struct(a as a, i as i)))", "s", twice)
+    covered = f"aggregate(sort_array({twice}), struct(0L as n, -{WINDOW} as p), (c, q) -> struct(c.n + least({WINDOW}, q - c.p) as n, q as p), c -> c.n)"
+    repeated = f"CASE WHEN n_words < {WINDOW + 1} THEN 0L ELSE {_let(windows, 'v', f'CASE WHEN size(array_distinct(v)) = size(v) THEN 0L ELSE {covered} END')} END"
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-    n_chars = F.length("t")
-    less = lambda chars: n_chars - F.length(F.translate("t", chars, ""))
-    d = d.withColumn("words", words).withColumn("n_words", F.size("words").cast("long")).withColumn("lines", lines)
+
+    marks = F.regexp_replace("t", f"[^{SYMBOLS}!]++", "")
+    d = d.withColumn("words", words_of(F.col("t"))).withColumn("n_words", F.size("words").cast("long")).withColumn("lines", lines).withColumn("marks", marks).withColumn("n_symbols", F.length(F.replace("marks", F.lit("!"), F.lit(""))).cast("long"))
     return d.select(
         "row", "lang", "source", "n_words",
-        less(WHITE_SPACE).cast("long").alias("space"), n_chars.cast("long").alias("n_chars"),
-        less(SYMBOLS).cast("long").alias("n_symbols"), less("!").cast("long").alias("n_marks"), less(UPPER).cast("long").alias("n_upper"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", (F.length("marks") - F.col("n_symbols")).cast("long").alias("n_marks"),
+        F.size(F.filter("words", lambda w: w == F.upper(w))).cast("long").alias("n_upper"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeated).alias("n_repeat_words"),
-    ).withColumn("word_chars", F.col("n_chars") - F.col("space")).drop("space", "n_chars")
+    )
 
 
 def base_failed() -> Column:
@@ -70,7 +73,7 @@ def with_vector(stats: DataFrame) -> DataFrame:
     c = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     vector = {
         "length": F.log1p("n_words"), "word_length": F.log(c / w), "symbols": F.log1p(20 * F.col("n_symbols") / w), "marks": F.log1p(20 * F.col("n_marks") / w),
-        "capitals": F.col("n_upper") / c, "repeats": F.col("n_repeat_words") / w, "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "capitals": F.col("n_upper") / w, "repeats": F.col("n_repeat_words") / w, "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
     }
     return stats.withColumn("v", F.array(*(vector[k] for k in STATS)))
 
@@ -127,7 +130,7 @@ def _first_distances(rows: DataFrame) -> DataFrame:
 
 def robust_model(rows: DataFrame) -> DataFrame:
     """The minimum covariance determinant estimate of each (g, s) of rows (g, s, v)."""
-    rows = rows.select("g", "s", "v").where("g is not null")
+    rows = cut(rows.where("g is not null").select("g", "s", "v"), "mcd-rows")
     near = _first_distances(rows)
     for _ in range(STEPS):
         limit = near.groupBy("g", "s").agg(F.percentile_approx("d2", H, 1000).alias("most"))

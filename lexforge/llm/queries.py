@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, token_counts, url_filter
+from . import chat_format, language_id, mixing, quality_model, quality_rules, token_counts, url_filter
 from .common import table
 
 BOTH_SAY = "<|im_end|><|im_start|>assistant ok"
@@ -36,7 +36,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules)}
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id)}
 
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
 _ROLE = r"replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '|', '\p')"
