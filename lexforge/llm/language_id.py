@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import remainder, small_batches
 
-HIDDEN, STEPS, BATCH, RATE, SEED = 8, 300, 64, 0.02, 5
+HIDDEN, STEPS, BATCH, RATE, SEED = 6, 300, 64, 0.02, 5
 TRAIN_DOCS, WINDOWS_EACH, TRAIN_CHARS = 300, 3, 4096
-CORE, EDGE = 112, 8
-LANES = 2048
+TRAIN_BYTES, CORE, EDGE = 112, 184, 8
+LANES = 1024
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -62,6 +62,34 @@ class Direction:
             out[t] = state
         return out
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """As run(), for reading only: (time, hidden, lanes), whose rows are contiguous, in buffers used again."""
+        h, lanes = HIDDEN, x.shape[1]
+        table = self.table * np.repeat(np.float32([0.5, 0.5, 1]), h)
+        # r * s = (1 + tanh) * s / 2: the half goes into the matrix.
+        gates, turn = np.ascontiguousarray(self.gates.T) * np.float32(0.5), np.ascontiguousarray(self.turn.T) * np.float32(0.5)
+        out = np.empty((len(x) + 1, h, lanes), np.float32)
+        out[0] = 0
+        a, g, s = np.empty((lanes, 3 * h), np.float32), np.empty((2 * h, lanes), np.float32), np.empty((h, lanes), np.float32)
+        u, r, into = g[:h], g[h:], a.T
+        for t in range(len(x)):
+            state, c = out[t], out[t + 1]
+            np.take(table, x[t], axis=0, out=a, mode="clip")
+            np.matmul(gates, state, out=g)
+            g += into[: 2 * h]
+            np.tanh(g, out=g)
+            np.matmul(turn, state, out=s)
+            np.multiply(r, s, out=r)
+            s += r
+            s += into[2 * h :]
+            np.tanh(s, out=s)
+            np.subtract(state, s, out=c)
+            c *= np.float32(0.5)
+            np.multiply(u, c, out=u)
+            c += u
+            c += s
+        return out[1:]
+
     def learn(self, x: np.ndarray, keep: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of table, gates and turn, back through time."""
         h = HIDDEN
@@ -91,13 +119,14 @@ class Network:
         self.bias = np.zeros(len(languages), np.float32)
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of every position: (time, lanes, languages)."""
-        both = np.concatenate([self.forth.run(x), self.back.run(x[::-1])[::-1]], axis=2)
-        logits = both.reshape(-1, 2 * HIDDEN) @ self.top + self.bias
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits.reshape(*x.shape, -1)
+        """Probabilities of every position: (time, languages, lanes). States are within (-1, 1), so exp is safe."""
+        top = np.ascontiguousarray(self.top.T)
+        p = np.matmul(top[:, :HIDDEN], self.forth.states(x))
+        p += np.matmul(top[:, HIDDEN:], self.back.states(x[::-1]))[::-1]
+        p += self.bias[:, None]
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return p
 
     def step(self, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         kept: tuple[list, list] = ([], [])
@@ -133,8 +162,8 @@ class Network:
             w, n = who[a : a + LANES], real[a : a + LANES]
             p = self.positions(np.ascontiguousarray(x[a : a + LANES].T))[EDGE:-EDGE]
             if (n < CORE).any():
-                p = p * (np.arange(CORE)[:, None] < n)[:, :, None]
-            np.add.at(total, w, p.sum(0))
+                p *= (np.arange(CORE)[:, None] < n)[:, None, :]
+            np.add.at(total, w, p.sum(0).T)
         return total / np.maximum(length, 1)[:, None]
 
 
@@ -147,8 +176,8 @@ def train(examples: list[tuple[str, str]]) -> Network | None:
     rng = np.random.default_rng(SEED)
     by: list[list[np.ndarray]] = [[] for _ in net.languages]
     for raw, lang in sorted(examples):
-        for at in rng.integers(0, max(1, len(raw) - CORE + 1), WINDOWS_EACH):
-            by[net.languages.index(lang)].append(np.frombuffer(raw[at : at + CORE].ljust(CORE, b"\n"), np.uint8))
+        for at in rng.integers(0, max(1, len(raw) - TRAIN_BYTES + 1), WINDOWS_EACH):
+            by[net.languages.index(lang)].append(np.frombuffer(raw[at : at + TRAIN_BYTES].ljust(TRAIN_BYTES, b"\n"), np.uint8))
     pools = [np.stack(x) for x in by]
     moments: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k in range(1, STEPS + 1):

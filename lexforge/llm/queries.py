@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, quality_model, quality_rules, token_counts, url_filter
+from . import chat_format, language_id, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, url_filter
 from .common import table
 
 BOTH_SAY = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +44,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id, op8_near_dedup, op9_packing)}
 
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
 _ROLE = r"replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '|', '\p')"
@@ -73,4 +81,15 @@ p as (select doc_id, size, source_size, target, least(round(target)::bigint, {mi
 select doc_id, size, source_size, target,
   (case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(size, words % source_size - beg)) end)::bigint as taken from p"""
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_source_mix": OP2_SQL, "op4_url_filter": url_filter.judge_sql()}
+OP8_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end)) as g from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
+l as materialized (select a, b from e union all select b, a from e),
+r(id, reach) as (select doc_id, doc_id from w union select r.id, l.b from r join l on l.a = r.reach)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, w.doc_id = component_id as kept
+from w left join n using (doc_id) join (select id, min(reach) as component_id from r group by id) on id = w.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_source_mix": OP2_SQL, "op4_url_filter": url_filter.judge_sql(), "op8_near_dedup": OP8_SQL}
