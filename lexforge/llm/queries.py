@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, url_filter
+from . import chat_format, fingerprints, language_id, mixing, near_dedup, packing, quality_model, quality_rules, token_counts, url_filter
 from .common import table
 
 BOTH_SAY = "<|im_end|><|im_start|>assistant ok"
@@ -52,7 +52,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id, op8_near_dedup, op9_packing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id, op8_near_dedup, op9_packing, op10_fingerprints)}
 
 _ESCAPED = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
 _ROLE = r"replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '|', '\p')"
