@@ -9,7 +9,8 @@ number of candidates is capped. Every link is confirmed on whole sets of 64-bit
 alternating large-star and small-star steps on tables, never on the driver.
 
 BANDS bands of ROWS samples miss a pair at similarity 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS, under 1e-5; the
-sketch test drops it only if its estimate is under SKETCH_FLOOR, more than five deviations away.
+sketch test (SAMPLES samples in 64 * SKETCH_WORDS bits, a deviation of 0.021) drops it only if its estimate is under
+SKETCH_FLOOR. Sets whose sizes alone rule the similarity out are not compared.
 
 Defined cases: a text that is null or has no word has the empty set, links with nothing and keeps itself; fewer than K
 words form one shingle; rows of equal id are one document if their sets are equal and are linked by id otherwise, each
@@ -25,14 +26,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, small_batches
 
 K, SIMILARITY = 4, 80
 BANDS, ROWS = 30, 5
-SKETCH_WORDS, SKETCH_FLOOR, ROUNDS = 8, 0.62, 2
+SAMPLES, SKETCH_WORDS, SKETCH_FLOOR, ROUNDS = 640, 32, 0.715, 3
 WORD_CACHE = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,7 +72,7 @@ class Sketcher:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        m = BANDS * ROWS
+        m = SAMPLES
         self.a = rng.integers(1, 1 << 63, (m, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, (m, 1), np.uint64)
         self.salt = rng.integers(0, 1 << 63, m, np.uint64)
@@ -87,7 +88,7 @@ class Sketcher:
         return low
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        s = mixed(samples + self.salt).reshape(BANDS, ROWS)
+        s = mixed(samples + self.salt)[: BANDS * ROWS].reshape(BANDS, ROWS)
         out = s[:, 0].copy()
         for i in range(1, ROWS):
             out = out * MIX + s[:, i]
@@ -122,11 +123,13 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def likely(a: str, b: str) -> Column:
-    """Whether the odd sketches in columns a and b allow a similarity of SKETCH_FLOOR or more."""
-    differ = reduce(lambda x, i: x + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])), range(SKETCH_WORDS), F.lit(0))
+    """Whether the sizes of two sets allow the similarity, and their odd sketches one of SKETCH_FLOOR or more; a and b
+    are columns of struct (n, odd)."""
+    sizes = 100 * F.least(F.col(a)["n"], F.col(b)["n"]) >= SIMILARITY * F.greatest(F.col(a)["n"], F.col(b)["n"])
+    differ = reduce(lambda x, i: x + F.bit_count(F.col(a)["odd"][i].bitwiseXOR(F.col(b)["odd"][i])), range(SKETCH_WORDS), F.lit(0))
     bits = 64 * SKETCH_WORDS
     # d of the samples differ: the XOR has about bits / 2 * (1 - exp(-2 * 2d / bits)) ones.
-    return differ <= int(bits / 2 * (1 - np.exp(-4 * (1 - SKETCH_FLOOR) * BANDS * ROWS / bits)))
+    return sizes & (differ <= int(bits / 2 * (1 - np.exp(-4 * (1 - SKETCH_FLOOR) * SAMPLES / bits))))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -173,12 +176,6 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
 
 
-def nearest_links(links: DataFrame) -> DataFrame:
-    """(id, component): the least neighbour of each linked id. Equal names mean connected, not the reverse."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component"))
-
-
 def named_by(members: DataFrame, names: DataFrame | None) -> DataFrame:
     """Members with label: the name that (id, component) rows give them, else their own id."""
     if names is None:
@@ -192,32 +189,39 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = cut(rows.join(shared, "band"), "dedup-members")
     odd = classes.select("id", "odd")
-    links = tried = None
+    # The original of a family of copies shares more bands with them than they do with each other: such are the centres.
+    busy = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band").groupBy("id").agg(F.sum("n").alias("busy"))
+    first = Window.partitionBy("band").orderBy(F.col("busy").desc(), "id")
+    centres = cut(members.join(busy, "id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROUNDS).select("band", F.col("id").alias("c"), "k"), "dedup-centres")
+    links = tried = found = None
 
     def check(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that the sketches allow, without those tried before, to confirmed links."""
         nonlocal links, tried
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        with_odd = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
-        fresh = cut(with_odd.where(likely("oa", "ob")).select("a", "b"), "dedup-pairs")
+        fresh = cut(pairs, "dedup-pairs")
         got = cut(confirm(fresh, docs), "dedup-links")
         tried = fresh if tried is None else tried.union(fresh)
         links = got if links is None else links.union(got)
         return got
 
-    for k in range(ROUNDS):
-        now = named_by(members, None if links is None else nearest_links(links))
-        # The same centre for a family in all its buckets: the least by a hash that changes with the round.
-        rank = F.struct(F.xxhash64("id", F.lit(k)), F.col("id"), F.col("label"))
-        centre = now.groupBy("band").agg(F.min(rank).alias("c")).select("band", F.col("c.id").alias("c"), F.col("c.label").alias("cl"))
-        pairs = now.join(centre, "band").where("label <> cl and id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        check(pairs)
-    found = components(links)
+    for k in range(1, ROUNDS + 1):
+        now = named_by(members, found)
+        here = centres.where(F.col("k") == k)
+        centre = here.select("band", "c") if found is None else here.join(found.withColumnRenamed("id", "c"), "c", "left").select("band", "c", F.coalesce("component", "c").alias("cl"))
+        differ = F.col("label") != (F.col("c") if found is None else F.col("cl"))
+        pairs = now.join(centre, "band").where(differ & (F.col("id") != F.col("c"))).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        with_odd = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+        check(with_odd.where(likely("oa", "ob")).select("a", "b"))
+        found = components(links)
     now = named_by(members, found)
     split = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = cut(now.join(split, "band").select("band", "id", "label"), "dedup-rest")
-    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-    across = rest.join(other, "band").where("id < b and label <> lb").select(F.col("id").alias("a"), "b").distinct()
+    rest = cut(now.join(split, "band").join(odd, "id").select("band", "id", "label", "odd"), "dedup-rest")
+    mine = rest.select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("odd").alias("oa"))
+    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
+    # The sketches are compared within the join: only pairs that may be similar come out of it.
+    across = mine.join(other, (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & likely("oa", "ob")).select("a", "b").distinct()
     late = check(across)
     if not late.head(1):
         return found
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = cut(named.groupBy("key").agg(F.min("doc_id").alias("id")), "dedup-classes")
     # A class takes the bands of the row that carries its least id.
     heads = named.join(same, "key").where("doc_id = id")
-    classes = cut(heads.groupBy("id", "key").agg(F.first("bands").alias("bands"), F.first("odd").alias("odd")), "dedup-heads")
+    classes = cut(heads.groupBy("id", "key").agg(F.first("bands").alias("bands"), F.first(F.struct(F.col("n_shingles").alias("n"), "odd")).alias("odd")), "dedup-heads")
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     copies = named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     # Copies hang on their class, one edge each; the classes' components then name them in one join.
