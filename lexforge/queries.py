@@ -294,4 +294,7 @@ ORACLE_SQL: dict[str, str] = {
       select doc_id, count(*) as terms, round(max(x) / sqrt(sum(x * x)), 6) as top_weight from r group by doc_id""",
     "page_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages",
     "noise_cleaning": r"select case when regexp_matches(text, '^[a-z]') then 'bad_text_start' when len(regexp_extract_all(text, '[#$%&*]{3}')) >= 3 then 'high_noise_text_hits' when len(regexp_extract_all(text, '\|')) >= 5 then 'long_admin_list' end as reason, count(*) as n from documents group by 1",
+    "draft_extraction": """select * from (values (0, 'on entend par', null::varchar, null::varchar, 'service numérique', 'un service fourni à distance par voie électronique', 'explicit', 'high', 'code'), (2, 's''entend de', null, null, 'probité', 'l''exigence générale d''honnêteté', 'explicit', 'high', 'unspecified'), (3, 'terme_colon_definition', '1°', null, 'Déchet', 'toute substance dont le détenteur se défait', 'explicit', 'high', 'unspecified'), (4, 'sont considérés comme', null, 'les biens', 'des déchets', 'sont abandonnés', 'explicit_qualification', 'medium', 'unspecified'), (8, 'défini comme', null, null, 'Le mot X est', 'un Y de grande taille', 'explicit', 'medium', 'unspecified'))
+      t(id, pattern, item_number, defined_subject, term_candidate, definition_candidate, definition_type, extraction_confidence, scope_label)""",
+    "rule_extraction": """select * from (values (0, 'colon_definition', 'Pour l''application du présent code, on entend par « service numérique »', 'un service fourni à distance par voie électronique.'), (1, null, null, null), (2, 'sentend_de', 'La probité, qui', 'l''exigence générale d''honnêteté, est requise.'), (3, 'colon_definition', 'Déchet', 'toute substance dont le détenteur se défait ; État : le pouvoir'), (4, null, null, null), (5, null, null, null), (6, null, null, null), (7, null, null, null), (8, 'defini_comme', 'Le mot X', 'un Y de grande taille'), (9, null, null, null)) t(id, rule, term, definition)""",
 }
