@@ -70,6 +70,21 @@ def apply_review(drafts: DataFrame, decisions: DataFrame) -> DataFrame:
     return d.withColumns({"gold_term": F.when(valid, F.col("term_candidate")).when(~invalid, F.coalesce(F.nullif(term, F.lit("")), "term_candidate")), "gold_definition": F.when(valid, F.col("definition_candidate")).when(~invalid, F.coalesce(F.nullif(body, F.lit("")), "definition_candidate"))})
 
 
+def apply_corrections(gold: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Gold rows under an audit's overlay (one row a definition_id): corrected fields that are not null replace, rows of
+    status remove go, and all other rows stay. A correction of an unknown id changes nothing."""
+    new = corrections.select(*(F.col(c).alias(f"__{c}") for c in corrections.columns))
+    d = gold.join(new, F.col("definition_id") == F.col("__definition_id"), "left").where(F.coalesce(F.col("__correction_status"), F.lit("")) != "remove")
+    return d.select(*(F.coalesce(f"__{c}", c).alias(c) if c in corrections.columns and c != "definition_id" else F.col(c) for c in gold.columns))
+
+
+def duplicate_report(rows: DataFrame, key: Column, row_id: str, order: list) -> DataFrame:
+    """Rows after the first of a key, each with the id of that first row (original_id)."""
+    w = Window.partitionBy("__k").orderBy(*order)
+    tagged = rows.withColumn("__k", key).withColumn("original_id", F.first(row_id).over(w)).withColumn("__n", F.row_number().over(w))
+    return tagged.where("__n > 1").drop("__k", "__n")
+
+
 def merge_versions(rows: DataFrame, exact: Column, coarse: Column, order: list) -> DataFrame:
     """Adds keep and reason (first, exact_duplicate, same_article_term). Exact where equal exact keys have equal coarse
     keys: then the first row of each coarse key is what a greedy pass over both keys keeps."""

@@ -11,6 +11,7 @@ from .functions import patterns as P
 from .functions import text as X
 from .operators import curation as C
 from .operators import mining as M
+from .operators import models as L
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +203,39 @@ def tfidf_word(spark, sf_dir):
     return C.word_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
+def tfidf_char(spark, sf_dir):
+    d, terms = table(spark, sf_dir, "documents"), L.char_terms(F.col("text"))
+    return L.tfidf(d, L.term_idf(d, "doc_id", terms), "doc_id", terms).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"))
+
+
+def fold_summary(spark, sf_dir):
+    """Accuracy by language as if languages were folds, summed up."""
+    p = _predicted(spark, sf_dir).select(F.col("source").alias("fold"), F.col("gold_label").alias("label"), F.col("pred_label").alias("pred"))
+    s = L.fold_summary(L.grouped_metrics(p, "fold"), "macro_f1")
+    return s.select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")))
+
+
+def duplicate_originals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return C.duplicate_report(d, F.md5(X.normalize_term(F.col("text")).cast("binary")), "doc_id", [F.col("doc_id")]).select("doc_id", "original_id")
+
+
+def correction_overlay(spark, sf_dir):
+    gold = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("definition_id"), F.col("lang").alias("term"), F.col("source").alias("definition"))
+    made = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("definition_id"), F.when(F.col("quality") == 1, "better").alias("term"), F.when(F.col("toxic") == 1, "remove").otherwise("corrected").alias("correction_status"))
+    return C.apply_corrections(gold, made)
+
+
+def group_folds(spark, sf_dir):
+    return L.group_folds(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
+
+
+def model_metrics(spark, sf_dir):
+    """The three linear models on the labelled documents: test metrics of each."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, "test").otherwise("train").alias("split"))
+    return L.grouped_metrics(L.evaluate_models(d, "doc_id", "text", "quality", "split").where("split = 'test'"), "model")
+
+
 def page_text(spark, sf_dir):
     """Visible text and title of HTML pages (never well-formed XML)."""
     h = F.regexp_replace(F.regexp_replace("html", r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>", " "), r"(?s)<[^>]*>", " ")
@@ -217,8 +251,10 @@ def noise_cleaning(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, page_text, noise_cleaning)
+    for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
 }
+#: Greedy dealing and fitted models have no SQL form; tests hold them against brute force or expected accuracy.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (group_folds, model_metrics)}
 
 _CLEAN = r"trim(regexp_replace(translate(coalesce({c}, ''), chr(160) || '’', ' '''), '[\s\x{{85}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
 _ACC = f"translate({{c}}, '{P.ACCENTED}', '{P.PLAIN}')"
@@ -292,6 +328,17 @@ ORACLE_SQL: dict[str, str] = {
       n as (select count(*)::double as n from documents), df as (select term, count(*) as df from tf group by term),
       r as (select doc_id, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as x from tf join df using (term), n where df >= 2 and df <= 0.95 * n)
       select doc_id, count(*) as terms, round(max(x) / sqrt(sum(x * x)), 6) as top_weight from r group by doc_id""",
+    "tfidf_char": f"""with d as (select doc_id, [x for x in string_split(lower({plain(clean('text'))}), ' ') if x <> ''] as w from documents), p as (select doc_id, ' ' || unnest(w) || ' ' as p from d),
+      s as (select doc_id, p, unnest(range(3, least(5, length(p)) + 1)) as n from p), g as (select doc_id, unnest([substr(p, i, n) for i in range(1, length(p) - n + 2)]) as term from s),
+      tf as (select doc_id, term, count(*) as tf from g group by all), n as (select count(*)::double as n from documents), df as (select term, count(*) as df from tf group by term),
+      r as (select doc_id, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as x from tf join df using (term), n where df >= 2 and df <= 0.95 * n)
+      select doc_id, count(*) as terms, round(max(x) / sqrt(sum(x * x)), 6) as top_weight from r group by doc_id""",
+    "fold_summary": """with p as (select source, quality as g, case when contains(text, '!!') or contains(text, ' | ') then 0 else 1 end as p from documents join labels using (doc_id)),
+      m as (select source, count(*) filter (g = 0 and p = 0) as tn, count(*) filter (g = 0 and p = 1) as fp, count(*) filter (g = 1 and p = 0) as fn, count(*) filter (g = 1 and p = 1) as tp from p group by source),
+      f as (select (coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0::double * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 as f from m)
+      select round(avg(f), 6) as mean, round(case when count(*) > 1 then stddev_samp(f) when count(*) = 1 then 0.0::double end, 6) as std, round(min(f), 6) as min, round(max(f), 6) as max from f""",
+    "duplicate_originals": f"select doc_id, original_id from (select doc_id, min(doc_id) over (partition by md5({term('text')})) as original_id from documents) where doc_id <> original_id",
+    "correction_overlay": "select doc_id::varchar as definition_id, case when quality = 1 then 'better' else lang end as term, source as definition from documents left join labels using (doc_id) where coalesce(toxic, 0) <> 1",
     "page_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages",
     "noise_cleaning": r"select case when regexp_matches(text, '^[a-z]') then 'bad_text_start' when len(regexp_extract_all(text, '[#$%&*]{3}')) >= 3 then 'high_noise_text_hits' when len(regexp_extract_all(text, '\|')) >= 5 then 'long_admin_list' end as reason, count(*) as n from documents group by 1",
     "draft_extraction": """select * from (values (0, 'on entend par', null::varchar, null::varchar, 'service numérique', 'un service fourni à distance par voie électronique', 'explicit', 'high', 'code'), (2, 's''entend de', null, null, 'probité', 'l''exigence générale d''honnêteté', 'explicit', 'high', 'unspecified'), (3, 'terme_colon_definition', '1°', null, 'Déchet', 'toute substance dont le détenteur se défait', 'explicit', 'high', 'unspecified'), (4, 'sont considérés comme', null, 'les biens', 'des déchets', 'sont abandonnés', 'explicit_qualification', 'medium', 'unspecified'), (8, 'défini comme', null, null, 'Le mot X est', 'un Y de grande taille', 'explicit', 'medium', 'unspecified'))
