@@ -209,7 +209,7 @@ def tfidf_char(spark, sf_dir):
 
 
 def fold_summary(spark, sf_dir):
-    """Accuracy by language as if languages were folds, summed up."""
+    """Macro F1 by source as if sources were folds, summed up."""
     p = _predicted(spark, sf_dir).select(F.col("source").alias("fold"), F.col("gold_label").alias("label"), F.col("pred_label").alias("pred"))
     s = L.fold_summary(L.grouped_metrics(p, "fold"), "macro_f1")
     return s.select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")))
