@@ -5,9 +5,11 @@ sequences are final. The others become items themselves: partitions are merged F
 until one partition is left or merging no longer helps. A task never holds more than MOST_ITEMS items at once; the rest
 of its partition follows in further lots.
 
-Token ids are found as the library gives them: texts of common characters are split by a regular expression equal to the
-tokenizer's own and each pre-token's ids come from a cache in the worker; other texts, and texts with a special string,
-go through the library whole. Ids never leave the task: a piece carries its place, length and checksum.
+Token ids are found as the library gives them: texts of common characters go through a second implementation of byte
+pairs over the same vocabulary, which merges by the rank of the merged token. The two agree if every token of the
+vocabulary is what the library makes of that token's own string, which is checked before each run; for a vocabulary where
+that fails, for other texts and for texts with a special string the library is asked. Ids never leave the task: a piece
+carries its place, length and checksum.
 
 Defined cases: null text is empty, and gives one piece of just the end token; ties pack in the order of (id, start);
 repeated rows are each packed; a null id stays null; no documents give no rows; other columns are ignored.
@@ -23,20 +25,20 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import cut, small_batches
 
 CAPACITY, END_ID, SLACK, FAN_IN, MOST_ITEMS = 1024, 2, 8, 8, 200_000
-CACHE = 600_000
 #: Characters whose class and white space are the same in the tokenizer and in Python.
 COMMON = re.compile(r"[\t-\r -ɏ‐-‧€]*+")
-#: The tokenizer's split, for COMMON characters: among them the numbers are these, and all other word characters letters.
-_NUMBER, _LETTER = "0-9²³¹¼½¾", "[^\\W0-9_²³¹¼½¾]"
-PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?[{_NUMBER}]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The tokenizer's split.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BIN = "bin bigint, size int, items array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -46,24 +48,19 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class Encoded(dict):
-    """Pre-token to its ids, as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
-
-    def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[pre_token] = ids = encode(pre_token, self.path)
-        return ids
-
-
 @cache
-def known_ids(path: str) -> Encoded:
-    """The cache of this worker process: it outlives a task, so that the next one starts warm."""
-    return Encoded(path)
+def by_rank(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary for merging by rank; None where that may differ from the library."""
+    own = tokenizer(path)
+    vocab = own.get_vocab(with_added_tokens=False)
+    alphabet = sorted(ByteLevel.alphabet())  # a byte is its own character if printable, else one from 256 on
+    printed = {c: ord(c) for c in alphabet if ord(c) < 256}
+    to_byte = printed | dict(zip(alphabet[len(printed) :], sorted(set(range(256)) - set(printed.values())), strict=True))
+    special = {t.content for t in own.get_added_tokens_decoder().values()}
+    plain = {token: i for token, i in vocab.items() if token not in special}
+    if any(not to_byte.keys() >= set(token) or [x.id for x in own.model.tokenize(token)] != [i] for token, i in plain.items()):
+        return None
+    return tiktoken.Encoding("by_rank", pat_str=PRE_TOKEN, mergeable_ranks={bytes(map(to_byte.get, token)): i for token, i in plain.items()}, special_tokens={})
 
 
 def encode(text: str, path: str) -> bytes:
@@ -71,10 +68,14 @@ def encode(text: str, path: str) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def token_bytes(text: str, known: Encoded, special: tuple[str, ...]) -> bytes:
-    if COMMON.fullmatch(text) is None or any(s in text for s in special):
-        return encode(text, known.path)
-    return b"".join(map(known.__getitem__, PRE_TOKEN.findall(text)))
+def token_bytes(text: str, path: str, fast: bool, special: tuple[str, ...]) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit bytes."""
+    if not fast or COMMON.fullmatch(text) is None or any(s in text for s in special):
+        return encode(text, path)
+    try:
+        return by_rank(path).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    except ValueError:  # a run of white space longer than its regular expression can follow
+        return encode(text, path)
 
 
 def pieces(ids: bytes) -> Iterator[tuple[int, int, int, int]]:
@@ -128,14 +129,15 @@ def _packed(lots: Iterator[tuple[list[int], list[list[dict]]]], level: int) -> I
 
 def tokenised_bins(docs: DataFrame, path: str) -> DataFrame:
     special = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    fast = by_rank(path) is not None
     small_batches(docs.sparkSession)
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[dict]]]]:
-        known, end = known_ids(path), END_ID.to_bytes(4, "little")
+        end = END_ID.to_bytes(4, "little")
         sizes, held = [], []
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for k, start, length, crc in pieces(token_bytes(text or "", known, special) + end):
+                for k, start, length, crc in pieces(token_bytes(text or "", path, fast, special) + end):
                     sizes.append(length)
                     held.append([{"doc_id": doc_id, "piece": k, "start": start, "length": length, "ids_crc32": crc}])
             if len(sizes) >= MOST_ITEMS:

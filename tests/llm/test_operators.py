@@ -181,6 +181,14 @@ def test_packing(edge, docs, empty, texts):
     assert Counter(r["doc_id"] for r in packing.pack(edge).where("piece = 0").collect()) == Counter(i for i, *_ in EDGE)
 
 
+def test_packing_ids(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.by_rank(path) is not None
+    hard = [*texts.values(), *(x or "" for _, x, *_ in EDGE), " " * 2_000_000 + "a", "é ² ¼'s don't  x\t\n y\r\n _a_9 " * 50, "a" * 50_000, "\n" * 9, "x\x1c\x85\xa0y"]
+    for text in hard:
+        assert packing.token_bytes(text, path, True, ("<|endoftext|>",)) == packing.encode(text, path)
+
+
 def test_fingerprints(edge, docs, empty, texts):
     assert fingerprints.fingerprint_documents(empty).count() == 0
     assert Counter(r["doc_id"] for r in fingerprints.fingerprint_documents(edge).collect()) == Counter(i for i, *_ in EDGE)
