@@ -4,7 +4,8 @@ A document's MinHash samples are folded into a parity bitmap (odd sketch): the p
 bitmaps estimates how many samples differ. Documents with equal shingle sets become one class first. Classes that share
 a band are linked in rounds: in each round every band bucket compares its members with one centre, and members that are
 already in the centre's component need no comparison. What is then still split is compared across components within the
-bucket. So a bucket of m copies costs about m comparisons a round, not m squared, and no bucket, list of partners or
+bucket, first by parity bitmaps of the whole sets: the XOR of two has at most as many ones as the sets differ in shingles,
+so what it rules out can never be linked, and families of short documents just under the threshold yield no pairs. So a bucket of m copies costs about m comparisons a round, not m squared, and no bucket, list of partners or
 number of candidates is capped. Every link is confirmed on whole sets of 64-bit shingle hashes; components are found by
 alternating large-star and small-star steps on tables, never on the driver.
 
@@ -34,6 +35,7 @@ from .common import cut, discard, small_batches
 K, SIMILARITY = 4, 80
 BANDS, ROWS = 30, 5
 SAMPLES, SKETCH_WORDS, SKETCH_FLOOR, ROUNDS = 640, 32, 0.715, 3
+WHOLE_WORDS = 16
 WORD_CACHE = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,38 +97,54 @@ class Sketcher:
         return mixed(out).view(np.int64)
 
     def odd(self, samples: np.ndarray) -> np.ndarray:
-        bit = mixed(samples * MIX ^ self.salt) % np.uint64(64 * SKETCH_WORDS)
-        flips = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-        return np.packbits(flips.astype(np.uint8)).view(np.int64)
+        return parity(mixed(samples * MIX ^ self.salt), SKETCH_WORDS)
+
+
+def parity(x: np.ndarray, words: int) -> np.ndarray:
+    """The parity bitmap of hashes x in 64-bit words."""
+    flips = np.bincount((x % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (128-bit digest of the set, null if empty), bands, odd: one pass, no shuffle."""
+    """doc_id, n_shingles, key (128-bit digest of the set, null if empty), bands, odd (sketch of the samples), whole
+    (parity bitmap of the set): one pass, no shuffle."""
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketcher = WordHashes(), Sketcher()
         for b in batches:
-            n, key, bands, odd = [], [], [], []
+            n, key, bands, odd, whole = [], [], [], [], []
             for text in b["text"].to_pylist():
                 s = shingle_set(text, hashes)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), bands.append(None), odd.append(None)
+                    key.append(None), bands.append(None), odd.append(None), whole.append(None)
                     continue
                 low = sketcher.samples(s)
-                key.append(xxhash.xxh3_128_digest(s.tobytes())), bands.append(sketcher.bands(low)), odd.append(sketcher.odd(low))
-            columns = [b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "bands", "odd"])
+                key.append(xxhash.xxh3_128_digest(s.tobytes())), bands.append(sketcher.bands(low)), odd.append(sketcher.odd(low)), whole.append(parity(s, WHOLE_WORDS))
+            columns = [b["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "bands", "odd", "whole"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, odd array<bigint>, whole array<bigint>")
+
+
+def ones(a: Column, b: Column, words: int) -> Column:
+    """How many bits of two bitmaps differ."""
+    return reduce(lambda x, i: x + F.bit_count(a[i].bitwiseXOR(b[i])), range(words), F.lit(0))
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, odd array<bigint>")
+def possible(na: Column, nb: Column, a: str, b: str) -> Column:
+    """Whether two sets of na and nb shingles can reach the similarity: then they differ in at most (100 - SIMILARITY) /
+    (100 + SIMILARITY) of na + nb shingles, and so do their bitmaps a and b."""
+    return (100 + SIMILARITY) * ones(F.col(a), F.col(b), WHOLE_WORDS) <= (100 - SIMILARITY) * (na + nb)
 
 
 def likely(a: str, b: str) -> Column:
     """Whether the sizes of two sets allow the similarity, and their odd sketches one of SKETCH_FLOOR or more; a and b
     are columns of struct (n, odd)."""
     sizes = 100 * F.least(F.col(a)["n"], F.col(b)["n"]) >= SIMILARITY * F.greatest(F.col(a)["n"], F.col(b)["n"])
-    differ = reduce(lambda x, i: x + F.bit_count(F.col(a)["odd"][i].bitwiseXOR(F.col(b)["odd"][i])), range(SKETCH_WORDS), F.lit(0))
+    differ = ones(F.col(a)["odd"], F.col(b)["odd"], SKETCH_WORDS)
     bits = 64 * SKETCH_WORDS
     # d of the samples differ: the XOR has about bits / 2 * (1 - exp(-2 * 2d / bits)) ones.
     return sizes & (differ <= int(bits / 2 * (1 - np.exp(-4 * (1 - SKETCH_FLOOR) * SAMPLES / bits))))
@@ -183,8 +201,8 @@ def named_by(members: DataFrame, names: DataFrame | None) -> DataFrame:
     return members.join(names, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
-def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of the linked classes among classes (id, bands, odd)."""
+def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, component) of the linked classes among classes (id, bands, odd), given whole (id, whole)."""
     rows = classes.select("id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = cut(rows.join(shared, "band"), "dedup-members")
@@ -217,11 +235,12 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
         found = components(links)
     now = named_by(members, found)
     split = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = cut(now.join(split, "band").join(odd, "id").select("band", "id", "label", "odd"), "dedup-rest")
-    mine = rest.select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("odd").alias("oa"))
-    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
-    # The sketches are compared within the join: only pairs that may be similar come out of it.
-    across = mine.join(other, (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & likely("oa", "ob")).select("a", "b").distinct()
+    rest = cut(now.join(split, "band").join(odd, "id").join(whole, "id").select("band", "id", "label", "odd", "whole"), "dedup-rest")
+    mine = rest.select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("odd").alias("oa"), F.col("whole").alias("wa"))
+    other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"), F.col("whole").alias("wb"))
+    # The bitmaps are compared within the join: only pairs that may be similar come out of it.
+    alike = possible(F.col("oa")["n"], F.col("ob")["n"], "wa", "wb") & likely("oa", "ob")
+    across = mine.join(other, (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct()
     late = check(across)
     if not late.head(1):
         return found
@@ -246,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     copies = named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     # Copies hang on their class, one edge each; the classes' components then name them in one join.
-    found = class_components(classes.select("id", "bands", "odd"), texts)
+    found = class_components(classes.select("id", "bands", "odd"), named.select(F.col("doc_id").alias("id"), "whole").distinct(), texts)
     roots = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("id"))
     own = sketches.select("doc_id", "n_shingles").join(roots, "doc_id", "left").withColumn("id", F.coalesce("id", "doc_id"))
     out = own.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))

@@ -206,3 +206,12 @@ def test_shift_keeps_inside():
     body = "".join(rng.choice(list("abcdefgh "), 4000))
     a, b = fingerprints.sketch([body, "shift" + body])
     assert fingerprints.likeness(a[None], b[None])[0] > 0.9
+
+
+def test_whole_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 40, 300, 3000):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[n // 5 :], rng.integers(0, 1 << 63, n // 3, np.uint64)])
+        x = near_dedup.parity(a, near_dedup.WHOLE_WORDS) ^ near_dedup.parity(b, near_dedup.WHOLE_WORDS)
+        assert sum(int(w).bit_count() for w in x.view(np.uint64)) <= len(np.setxor1d(a, b))
