@@ -1,9 +1,12 @@
 """Quality rules: base limits, then robust multivariate outliers (DataFrame functions only).
 
 Each document gets a vector of transformed statistics. For every language and source the minimum covariance determinant
-is estimated: starting from medians and absolute deviations, the H documents nearest to the current centre give the next
-mean and covariance (concentration steps, each one aggregation over the whole table). A document is rejected if its
-Mahalanobis distance from its group's final estimate exceeds CUT on the bad side.
+is estimated over h = (n + d + 1) / 2 of its n documents, so that nearly half of them may be junk. From each of three
+starts (medians and absolute deviations; signs and tanh of the distances from these) the h documents nearest to the
+current centre give the next mean and covariance until the determinant stops falling (concentration steps, each one
+aggregation over the whole table). The least determinant wins; the documents within NEAR of it give the final estimate.
+Both covariances are scaled to be consistent for normal data. A document is rejected if its Mahalanobis distance from
+its group's final estimate exceeds CUT on the bad side.
 
 Groups of fewer than LEAST documents borrow the pool of their language's small groups, then the pool of all such; a pool
 still smaller than LEAST judges nobody. Every statistic has a least spread, so that a group of equal documents does not
@@ -19,6 +22,7 @@ and otherwise ignored.
 from __future__ import annotations
 
 from functools import reduce
+from math import erf, exp, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,9 @@ from .common import WORD, cut, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-LEAST, STEPS, H = 100, 3, 0.75
+LEAST = 100
+#: Concentration ends where the logarithm of the determinant falls by no more than this.
+STILL = 1e-3
 #: Squared distance beyond which a document on the bad side is rejected; least spread of each statistic.
 CUT = 60.0
 STATS = {"length": 0.5, "word_length": 0.15, "symbols": 0.25, "marks": 0.25, "capitals": 0.15, "repeats": 0.15, "dup_lines": 0.15}
@@ -92,51 +98,90 @@ def _grouped(stats: DataFrame) -> DataFrame:
     return stats.join(names, ["lang", "source"])
 
 
-def _model(rows: DataFrame) -> DataFrame:
-    """Mean m_i and Cholesky factor l_i_j of the covariance of v, by (g, s), with the least spreads added."""
-    d = len(STATS)
-    floors = list(STATS.values())
-    sums = [F.avg(F.col("v")[i]).alias(f"m_{i}") for i in range(d)]
-    sums += [F.avg(F.col("v")[i] * F.col("v")[j]).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    model = rows.groupBy("g", "s").agg(*sums)
-    for i in range(d):  # the factor, entry by entry: each a column of the few rows of this table
-        for j in range(i + 1):
-            inner = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"p_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + (floors[i] ** 2 if i == j else 0.0))
-            model = model.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(inner, F.lit(floors[i] ** 2 / 4))) if i == j else inner / F.col(f"l_{j}_{j}"))
-    return model.drop(*(f"p_{i}_{j}" for i in range(d) for j in range(i + 1)))
+def _chi2_cdf(x: float, d: int) -> float:
+    """Of d degrees of freedom, d odd."""
+    out, term = erf(sqrt(x / 2)), sqrt(2 * x / pi) * exp(-x / 2)
+    for k in range(1, d, 2):
+        out, term = out - term, term * x / (k + 2)
+    return out
+
+
+def _consistent(share: float) -> tuple[float, float]:
+    """The squared distance within which a share of normal data lies, and the factor for the covariance of that share."""
+    d, low, high = len(STATS), 0.0, 200.0
+    for _ in range(60):
+        low, high = (low, (low + high) / 2) if _chi2_cdf((low + high) / 2, d) >= share else ((low + high) / 2, high)
+    return high, share / _chi2_cdf(high, d + 2)
+
+
+#: Shares that the nearest documents can have of a group, with their factors; the distance that the final estimate takes.
+SHARES = [i / 200 for i in range(100, 201)]
+FACTORS = [_consistent(share)[1] for share in SHARES]
+NEAR, NEAR_FACTOR = _consistent(0.975)
+
+
+def _model(rows: DataFrame, keys: list[str], factor: str) -> DataFrame:
+    """Mean m_i and Cholesky factor l_i_j of the covariance of v times ``factor`` with the least spreads added, and the
+    logarithm of its determinant, by keys."""
+    d, floors = len(STATS), list(STATS.values())
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    sums = [f"avg(v[{i}]) as m_{i}" for i in range(d)] + [f"avg(v[{i}] * v[{j}]) as p_{i}_{j}" for i, j in pairs]
+    factors = []
+    for i, j in pairs:  # the factor, entry by entry: each a column of the few rows of this table
+        inner = f"({factor}) * (p_{i}_{j} - m_{i} * m_{j})" + (f" + {floors[i] ** 2}D" if i == j else "") + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        factors.append(f"sqrt(greatest({inner}, {floors[i] ** 2 / 4}D)) as l_{i}_{j}" if i == j else f"({inner}) / l_{j}_{j} as l_{i}_{j}")
+    model = rows.groupBy(*keys).agg(*map(F.expr, sums)).selectExpr("*", *factors)
+    names = [*keys, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i, j in pairs)]
+    return model.selectExpr(*names, " + ".join(f"2 * ln(l_{i}_{i})" for i in range(d)) + " as log_det")
 
 
 def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds d2 (squared Mahalanobis distance) and z_i (distance of statistic i from its mean in its own spreads)."""
+    """Adds d2 (squared Mahalanobis distance), bad_side, and what else the model says."""
     d = len(STATS)
-    out = rows.join(model, ["g", "s"], "left")
-    for i in range(d):
-        rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"y_{k}"), range(i), F.col("v")[i] - F.col(f"m_{i}"))
-        out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
-    out = out.withColumn("d2", reduce(lambda a, k: a + F.col(f"y_{k}") * F.col(f"y_{k}"), range(d), F.lit(0.0)))
-    bad = [F.col("v")[i] - F.col(f"m_{i}") > 3 * floor for i, (k, floor) in enumerate(STATS.items()) if k not in ("length", "word_length")]
-    return out.withColumn("bad_side", reduce(lambda a, b: a | b, bad)).drop(*(f"y_{i}" for i in range(d)), *model.drop("g", "s").columns)
+    ys = [f"(v[{i}] - m_{i}" + "".join(f" - l_{i}_{k} * y_{k}" for k in range(i)) + f") / l_{i}_{i} as y_{i}" for i in range(d)]
+    bad = " or ".join(f"v[{i}] - m_{i} > {3 * floor}D" for i, (k, floor) in enumerate(STATS.items()) if k not in ("length", "word_length"))
+    keep = [f"`{c}`" for c in [*rows.columns, *(c for c in model.columns if c not in rows.columns and c[:2] not in ("m_", "l_"))]]
+    out = rows.join(model, ["g", "s"], "left").selectExpr(*keep, f"{bad} as bad_side", *ys)
+    return out.selectExpr(*keep, "bad_side", " + ".join(f"y_{i} * y_{i}" for i in range(d)) + " as d2")
 
 
-def _first_distances(rows: DataFrame) -> DataFrame:
-    """Distances from medians in absolute deviations: where the concentration steps start."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Distances (g, s, k, v, d2) that the concentration steps of start k begin with: from medians in absolute
+    deviations (0), and from the means of the rows drawn in to tanh (1) or the sign (2) of those distances."""
     d, floors = len(STATS), list(STATS.values())
-    median = rows.groupBy("g", "s").agg(*(F.percentile_approx(F.col("v")[i], 0.5, 1000).alias(f"c_{i}") for i in range(d)))
-    with_c = rows.join(median, ["g", "s"])
-    spread = with_c.groupBy("g", "s").agg(*(F.percentile_approx(F.abs(F.col("v")[i] - F.col(f"c_{i}")), 0.5, 1000).alias(f"a_{i}") for i in range(d)))
-    far = reduce(lambda a, i: a + F.pow((F.col("v")[i] - F.col(f"c_{i}")) / F.sqrt(F.pow(1.4826 * F.col(f"a_{i}"), 2) + floors[i] ** 2), 2), range(d), F.lit(0.0))
-    return with_c.join(spread, ["g", "s"]).select("g", "s", "v", far.alias("d2"))
+    median = cut(rows.groupBy("g", "s").agg(*(F.expr(f"percentile_approx(v[{i}], 0.5, 1000) as c_{i}") for i in range(d))), "mcd-medians")
+    spread = rows.join(median, ["g", "s"]).groupBy("g", "s").agg(*(F.expr(f"percentile_approx(abs(v[{i}] - c_{i}), 0.5, 1000) as a_{i}") for i in range(d)))
+    scales = [f"sqrt(pow(1.4826D * a_{i}, 2) + {floors[i] ** 2}D)" for i in range(d)]
+    scaled = cut(median.join(spread, ["g", "s"]).selectExpr("g", "s", f"array({', '.join(f'c_{i}' for i in range(d))}) as c", f"array({', '.join(scales)}) as a"), "mcd-scales")
+    z = rows.join(scaled, ["g", "s"]).selectExpr("g", "s", "v", "c", "a", "transform(v, (x, i) -> (x - c[i]) / a[i]) as z").selectExpr("*", "aggregate(z, 0D, (n, x) -> n + x * x) as d2")
+    tanh = z.selectExpr("g", "s", "1 as k", "transform(z, (x, i) -> c[i] + a[i] * tanh(x)) as v")
+    sign = z.selectExpr("g", "s", "2 as k", f"transform(z, (x, i) -> c[i] + a[i] * x * sqrt({d}D / greatest(d2, 1e-12D))) as v")
+    drawn = cut(_model(tanh.unionByName(sign), ["g", "s", "k"], "1D"), "mcd-starts")
+    return z.selectExpr("g", "s", "0 as k", "v", "d2").unionByName(_distances(rows, drawn).select("g", "s", "k", "v", "d2"))
+
+
+def _step(near: DataFrame) -> DataFrame:
+    """The model of the h nearest documents of each (g, s, k)."""
+    shares = f"array({', '.join(f'{x}D' for x in SHARES)})"
+    at = f"cast(least(ceil(100D * (n + {len(STATS) + 1}) / n), 200) - 100 as int)"
+    limit = near.groupBy("g", "s", "k").agg(F.expr(f"percentile_approx(d2, {shares}, 1000) as q"), F.expr("count(*) as n"))
+    limit = cut(limit.selectExpr("g", "s", "k", f"q[{at}] as most", f"array({', '.join(f'{x}D' for x in FACTORS)})[{at}] as factor"), "mcd-limits")
+    return cut(_model(near.join(limit, ["g", "s", "k"]).where("d2 <= most"), ["g", "s", "k", "factor"], "factor"), "mcd-model")
 
 
 def robust_model(rows: DataFrame) -> DataFrame:
-    """The minimum covariance determinant estimate of each (g, s) of rows (g, s, v)."""
+    """The reweighted minimum covariance determinant estimate of each (g, s) of rows (g, s, v)."""
     rows = cut(rows.where("g is not null").select("g", "s", "v"), "mcd-rows")
-    near = _first_distances(rows)
-    for _ in range(STEPS):
-        limit = near.groupBy("g", "s").agg(F.percentile_approx("d2", H, 1000).alias("most"))
-        model = cut(_model(near.join(limit, ["g", "s"]).where("d2 <= most")), "mcd-model")
-        near = _distances(rows, model).select("g", "s", "v", "d2")
-    return model
+    steps = [_step(_starts(rows))]
+    moving = steps[0]
+    while moving.head(1):  # each turn lowers a determinant that the least spreads bound from below
+        steps.append(_step(_distances(rows, moving).select("g", "s", "k", "v", "d2")))
+        before = moving.select("g", "s", "k", F.col("log_det").alias("was"))
+        moving = cut(steps[-1].join(before, ["g", "s", "k"]).where(F.col("was") - F.col("log_det") > STILL).drop("was"), "mcd-moving")
+    seen = reduce(DataFrame.unionByName, steps)
+    best = seen.groupBy("g", "s").agg(F.min_by(F.struct(*(c for c in seen.columns if c not in ("g", "s"))), F.struct("log_det", "k")).alias("x")).select("g", "s", "x.*").drop("k", "factor")
+    within = _distances(rows, cut(best, "mcd-best")).where(F.col("d2") <= NEAR)
+    return cut(_model(within.select("g", "s", "v"), ["g", "s"], f"{NEAR_FACTOR}D").drop("log_det"), "mcd-final")
 
 
 def judge_quality(docs: DataFrame, carry: list[str]) -> DataFrame:

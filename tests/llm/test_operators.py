@@ -116,6 +116,17 @@ def test_mcd_rejects_outliers(spark):
     assert all((r["d2"] > quality_rules.CUT and r["bad_side"]) == (r["v"][2] == 3.0) for r in far)
 
 
+@pytest.mark.parametrize("junk", [0.27, 0.4, 0.45])
+def test_mcd_withstands_alike_junk(spark, junk):
+    rng = np.random.default_rng(3)
+    n = int(1000 * junk)
+    clean = [[5 + float(x), 1.5 + float(y), 0.0, abs(float(z)), 0.0, 0.0, 0.0] for x, y, z in rng.normal(0, (0.3, 0.1, 0.2), (1000 - n, 3))]
+    spam = [[5 + float(x), 1.5, 3 + float(y), 0.0, 0.0, 0.0, 0.0] for x, y in rng.normal(0, (0.3, 0.05), (n, 2))]
+    frame = spark.createDataFrame([("=a", "=b", v) for v in clean + spam], "g string, s string, v array<double>")
+    far = quality_rules._distances(frame, quality_rules.robust_model(frame)).select("v", "d2", "bad_side").collect()
+    assert all((r["d2"] > quality_rules.CUT and r["bad_side"]) == (r["v"][2] > 2) for r in far)
+
+
 def test_quality_model(spark, edge, empty):
     rows = Q.op6_quality_model(spark, SF.replace("0.001", "0.01")).collect()
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").collect()}
