@@ -8,8 +8,8 @@ aggregation over the whole table). The least determinant wins; the documents wit
 Both covariances are scaled to be consistent for normal data. A document is rejected if its Mahalanobis distance from
 its group's final estimate exceeds CUT on the bad side.
 
-Groups of fewer than LEAST documents borrow the pool of their language's small groups, then the pool of all such; a pool
-still smaller than LEAST judges nobody. Every statistic has a least spread, so that a group of equal documents does not
+Groups of fewer than LEAST documents within the base limits borrow the pool of their language's small groups, then the pool of all such; if that
+is still smaller than LEAST, the estimate of all documents judges them, however few these are. Every statistic has a least spread, so that a group of equal documents does not
 reject all others.
 
 Statistics of a text are found within its row: no word or window is ever shuffled.
@@ -31,7 +31,7 @@ from .common import WORD, cut, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-LEAST = 100
+LEAST, ALL = 100, "**"
 #: Concentration ends where the logarithm of the determinant falls by no more than this.
 STILL = 1e-3
 #: Squared distance beyond which a document on the bad side is rejected; least spread of each statistic.
@@ -85,15 +85,16 @@ def with_vector(stats: DataFrame) -> DataFrame:
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
-    """Adds g and s: the language and source whose estimate judges the row; null if the pool is too small."""
-    n = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    """Adds g and s: the language and source whose estimate judges the row; ALL in both where any pool is too small."""
+    n = stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
     by_lang = n.where(F.col("n") < LEAST).groupBy("lang").agg(F.sum("n").alias("nl"))
     rest = by_lang.where(F.col("nl") < LEAST).agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("na")).scalar()
     own, lang = F.col("n") >= LEAST, F.col("nl") >= LEAST
+    pool = F.when(rest >= LEAST, F.lit("*")).otherwise(F.lit(ALL))
     names = n.join(by_lang, "lang", "left").select(
         "lang", "source",
-        F.when(own | lang, F.concat(F.lit("="), "lang")).when(rest >= LEAST, F.lit("*")).alias("g"),
-        F.when(own, F.concat(F.lit("="), "source")).when(lang | (rest >= LEAST), F.lit("*")).alias("s"),
+        F.when(own | lang, F.concat(F.lit("="), "lang")).otherwise(pool).alias("g"),
+        F.when(own, F.concat(F.lit("="), "source")).when(lang, F.lit("*")).otherwise(pool).alias("s"),
     )
     return stats.join(names, ["lang", "source"])
 
@@ -170,8 +171,10 @@ def _step(near: DataFrame) -> DataFrame:
 
 
 def robust_model(rows: DataFrame) -> DataFrame:
-    """The reweighted minimum covariance determinant estimate of each (g, s) of rows (g, s, v)."""
-    rows = cut(rows.where("g is not null").select("g", "s", "v"), "mcd-rows")
+    """The reweighted minimum covariance determinant estimate of each (g, s) of rows (g, s, v); that of ALL takes every row."""
+    rows = cut(rows.select("g", "s", "v"), "mcd-rows")
+    if rows.where(F.col("g") == ALL).head(1):
+        rows = rows.unionByName(rows.where(F.col("g") != ALL).select(F.lit(ALL).alias("g"), F.lit(ALL).alias("s"), "v"))
     steps = [_step(_starts(rows))]
     moving = steps[0]
     while moving.head(1):  # each turn lowers a determinant that the least spreads bound from below

@@ -127,6 +127,24 @@ def test_mcd_withstands_alike_junk(spark, junk):
     assert all((r["d2"] > quality_rules.CUT and r["bad_side"]) == (r["v"][2] > 2) for r in far)
 
 
+NOUNS = "river stone harbour winter garden letter market bridge window teacher forest journey morning kitchen village"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(NOUNS.split(), n))
+
+
+@pytest.mark.parametrize("others", [0, 300])
+def test_small_pools_are_judged(spark, others):
+    """An outlier in a language of 40 rows, alone or beside a large group, is rejected as one in a large pool is."""
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(rng, 80), "en" if i < others else "xx", "a") for i in range(others + 39)]
+    rows.append((-1, " ".join(w + " ####" for w in prose(rng, 80).split()), "xx", "a"))
+    rows.append((-2, " ".join(w + " ####" for w in prose(rng, 80).split()), None, None))
+    kept = {r[0]: r[1] for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("row.doc_id", "kept").collect()}
+    assert len(kept) == len(rows) and all(k == (i >= 0) for i, k in kept.items())
+
+
 def test_quality_model(spark, edge, empty):
     rows = Q.op6_quality_model(spark, SF.replace("0.001", "0.01")).collect()
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").collect()}
