@@ -6,7 +6,8 @@ starts (medians and absolute deviations; signs and tanh of the distances from th
 current centre give the next mean and covariance until the determinant stops falling (concentration steps, each one
 aggregation over the whole table). The least determinant wins; the documents within NEAR of it give the final estimate.
 Both covariances are scaled to be consistent for normal data. A document is rejected if its Mahalanobis distance from
-its group's final estimate exceeds CUT on the bad side.
+its group's final estimate exceeds CUT on the bad side: a statistic lies over the mean by 3 least spreads (length and
+length of words: lie off it), so that a text cleaner than its group is kept.
 
 Groups of fewer than LEAST documents within the base limits borrow the pool of their language's small groups, then the pool of all such; if that
 is still smaller than LEAST, the estimate of all documents judges them, however few these are. Every statistic has a least spread, so that a group of equal documents does not
@@ -38,6 +39,9 @@ STILL = 1e-3
 CUT = 60.0
 STATS = {"length": 0.5, "word_length": 0.15, "symbols": 0.25, "marks": 0.25, "capitals": 0.15, "repeats": 0.15, "dup_lines": 0.15}
 
+#: Statistics that are bad on either side of the mean; the others only above it.
+EITHER = ("length", "word_length")
+
 
 def _let(value: str, name: str, body: str) -> str:
     """SQL for ``body`` with ``value`` computed once and called ``name``."""
@@ -140,7 +144,7 @@ def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Adds d2 (squared Mahalanobis distance), bad_side, and what else the model says."""
     d = len(STATS)
     ys = [f"(v[{i}] - m_{i}" + "".join(f" - l_{i}_{k} * y_{k}" for k in range(i)) + f") / l_{i}_{i} as y_{i}" for i in range(d)]
-    bad = " or ".join(f"v[{i}] - m_{i} > {3 * floor}D" for i, (k, floor) in enumerate(STATS.items()) if k not in ("length", "word_length"))
+    bad = " or ".join(f"abs(v[{i}] - m_{i}) > {3 * floor}D" if k in EITHER else f"v[{i}] - m_{i} > {3 * floor}D" for i, (k, floor) in enumerate(STATS.items()))
     keep = [f"`{c}`" for c in [*rows.columns, *(c for c in model.columns if c not in rows.columns and c[:2] not in ("m_", "l_"))]]
     out = rows.join(model, ["g", "s"], "left").selectExpr(*keep, f"{bad} as bad_side", *ys)
     return out.selectExpr(*keep, "bad_side", " + ".join(f"y_{i} * y_{i}" for i in range(d)) + " as d2")

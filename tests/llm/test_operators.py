@@ -145,6 +145,17 @@ def test_small_pools_are_judged(spark, others):
     assert len(kept) == len(rows) and all(k == (i >= 0) for i, k in kept.items())
 
 
+def test_word_length_alone_rejects(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, prose(rng, 80), "en", "a") for i in range(300)]
+    rows.append((-1, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 64)) for _ in range(80)), "en", "a"))
+    rows.append((-2, " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 80)), "en", "a"))
+    rows.append((-3, prose(rng, 20000).replace("river", "brook"), "en", "a"))
+    got = {r[0]: r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("row.doc_id", "kept", "d2", "base_failed").collect()}
+    assert all(got[i]["d2"] > quality_rules.CUT and not got[i]["base_failed"] for i in (-1, -2, -3))
+    assert all(r["kept"] == (i >= 0) for i, r in got.items())
+
+
 def test_quality_model(spark, edge, empty):
     rows = Q.op6_quality_model(spark, SF.replace("0.001", "0.01")).collect()
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").collect()}
