@@ -73,6 +73,8 @@ DRAFTS = [
     ("défini comme", SPAN_FLAGS, rf"({_NAME})\s*,?\s+défini(?:e|s|es)?\s+comme\s+([^.;\n]{{10,500}})", {"term": 1, "definition": 2}),
     *((label, SPAN_FLAGS, rf"([^.;\n]{{2,120}}?)\s+{verb}\s+([^.;,\n]{{2,80}})\s+(?:lorsqu[’']?{who}|lorsque|si)\s+([^.;\n]{{5,400}})", {"subject": 1, "term": 2, "definition": 3}) for label, verb, who in (("est qualifié de", "est qualifié(?:e)? de", "il"), ("sont qualifiés de", "sont qualifié(?:e)?s de", "ils"), ("est considéré comme", "est considéré(?:e)? comme", "il"), ("sont considérés comme", "sont considéré(?:e)?s comme", "ils"))),
 ]
+#: A neutral colon rule for invented prose: up to four words, a colon, and what follows up to the end of the clause.
+NEUTRAL_DRAFTS = [("neutral colon", "", r"([A-Za-z0-9]+(?: [A-Za-z0-9]+){0,3}) ?: ([^;:.\n]{10,500})", {"term": 1, "definition": 2})]
 MOST_TERM_WORDS = {"terme_colon_definition": 12, "on entend par": 12, "s'entend de": 8}
 
 # The rule extractors, the first that gives a term and a definition wins (rule, regex, term groups, definition group).

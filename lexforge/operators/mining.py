@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -47,9 +47,10 @@ def is_bad_colon_context(term: Column, body: Column) -> Column:
     return X.any_of([t.contains(s) for s in P.BAD_COLON_TERM_PARTS] + [b.contains(s) for s in P.BAD_COLON_BODY_PARTS] + [t.startswith(s) for s in P.BAD_COLON_STARTS]) | (X.word_total(term) > 12)
 
 
-def extract_drafts(articles: DataFrame, text: str = "text") -> DataFrame:
+def extract_drafts(articles: DataFrame, text: str = "text", key: str = "id", drafts=P.DRAFTS) -> DataFrame:
     """One row per kept span: article columns, pattern, item_number, defined_subject, term_candidate,
-    definition_candidate, raw_body, definition_type, extraction_confidence, scope; duplicates of a span go."""
+    definition_candidate, raw_body, definition_type, extraction_confidence, scope. Of the kept spans of equal article key,
+    pattern, term and definition (nulls equal) the first in order of regex and place stays."""
     body = X.normalize_space(F.col(text))
 
     def spans_of(k: int, pattern: str, flags: str, regex: str, groups: dict[str, int]) -> Column:
@@ -59,18 +60,20 @@ def extract_drafts(articles: DataFrame, text: str = "text") -> DataFrame:
         meaning = lambda x: X.truncate_at_boundary(x["definition"], 800) if pattern == "on entend par" else X.clean_span(x["definition"])
         return F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(pattern).alias("pattern"), pick(x, "item").alias("item_number"), pick(x, "subject").alias("defined_subject"), pick(x, "term").alias("term_candidate"), meaning(x).alias("definition_candidate"), X.clean_span(x["raw"]).alias("raw_body")))
 
-    found = [spans_of(k, *draft) for k, draft in enumerate(P.DRAFTS)]
+    found = [spans_of(k, *draft) for k, draft in enumerate(drafts)]
     d = articles.withColumn("d", F.explode(F.concat(*found))).select(*articles.columns, "d.*")
     term, words = F.col("term_candidate"), X.word_total(F.col("term_candidate"))
     most = F.coalesce(*(F.when(F.col("pattern") == p, n) for p, n in P.MOST_TERM_WORDS.items()), F.lit(10))
     good = term.isNotNull() & F.col("definition_candidate").isNotNull() & (F.col("definition_candidate") != "") & F.col("raw_body").isNotNull() & ~is_bad_term(term) & (words <= most)
     good &= ~((F.col("pattern") == "terme_colon_definition") & is_bad_colon_context(term, F.col("raw_body")))
-    qualified = F.col("k") >= len(P.DRAFTS) - 4
+    qualified = F.col("k").isin([k for k, draft in enumerate(drafts) if "subject" in draft[3]])
     good &= ~qualified | (F.col("defined_subject").isNotNull() & (X.word_total(F.col("defined_subject")) <= 15))
     cut = F.when((F.col("pattern") == "on entend par") & (F.length("raw_body") > 1100), F.concat(F.rtrim(F.left("raw_body", F.lit(1100))), F.lit("..."))).otherwise(F.col("raw_body"))
     kind = F.when(qualified, "explicit_qualification").otherwise("explicit")
     sure = F.when(qualified | (F.col("pattern") == "défini comme"), "medium").otherwise("high")
-    return d.where(good).withColumns({"raw_body": cut, "definition_type": kind, "extraction_confidence": sure}).withColumn("scope", infer_scope(F.col("raw_body"))).select("*", "scope.*").drop("scope")
+    first = F.row_number().over(Window.partitionBy(key, "pattern", "term_candidate", "definition_candidate").orderBy("k", "i", "raw_body"))
+    d = d.where(good).withColumn("__n", first).where("__n = 1").drop("__n")
+    return d.withColumns({"raw_body": cut, "definition_type": kind, "extraction_confidence": sure}).withColumn("scope", infer_scope(F.col("raw_body"))).select("*", "scope.*").drop("scope")
 
 
 def rule_extract(text: Column) -> Column:

@@ -155,6 +155,10 @@ def draft_extraction(spark, sf_dir):
     return M.extract_drafts(french(spark)).select("id", "pattern", "item_number", "defined_subject", "term_candidate", "definition_candidate", "definition_type", "extraction_confidence", "scope_label")
 
 
+def draft_extraction_documents(spark, sf_dir):
+    return M.extract_drafts(table(spark, sf_dir, "documents"), key="doc_id", drafts=P.NEUTRAL_DRAFTS).select("doc_id", "pattern", "term_candidate", "definition_candidate", "definition_type")
+
+
 def rule_extraction(spark, sf_dir):
     return french(spark).withColumn("r", M.rule_extract(F.col("text"))).select("id", "r.rule", "r.term", "r.definition")
 
@@ -254,7 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
 }
 #: Greedy dealing and fitted models have no SQL form; tests hold them against brute force or expected accuracy.
-WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (group_folds, model_metrics)}
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (group_folds, model_metrics, draft_extraction_documents)}
 
 _CLEAN = r"trim(regexp_replace(translate(coalesce({c}, ''), chr(160) || '’', ' '''), '[\s\x{{85}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))"
 _ACC = f"translate({{c}}, '{P.ACCENTED}', '{P.PLAIN}')"
