@@ -34,6 +34,12 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, P.ACCENTED, P.PLAIN)
 
 
+def bare_words(c: Column) -> Column:
+    """The runs of a-z and 0-9 of the lower-case text without accents; null: none."""
+    flat = F.btrim(F.regexp_replace(strip_accents(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
+    return F.array_remove(F.split(flat, " "), "")
+
+
 def normalize_key(c: Column) -> Column:
     return F.btrim(F.lower(clean_flat(c)), F.lit(" .;:,"))
 

@@ -32,6 +32,28 @@ def exclude_known(rows: DataFrame, keys: Column, known: DataFrame, row_id: str)
     return rows.join(hit, row_id, "left_anti"), rows.join(hit, row_id)
 
 
+def exclude_terms(rows: DataFrame, row_id: str, text: str, terms: DataFrame, code: str | None = None, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(kept, excluded with matched_terms, longest first): rows whose text holds a known term (``term``) as whole words,
+    of the same ``code`` where one is named (compared as keys; a blank one matches nothing). Any white space or mark
+    stands between words; terms of under ``least`` characters are no terms.
+
+    A term is an n-gram of bare words, so only n-grams of the lengths that occur among the terms are joined, by equality.
+    """
+    same = X.normalize_key(F.col(code)) if code else F.lit("*")
+    words = X.bare_words(F.col("term"))
+    known = terms.select(same.alias("__c"), F.array_join(words, " ").alias("__t"), F.size(words).alias("__n")).where((F.length("__t") >= least) & (F.col("__c") != "")).distinct()
+    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())
+    d = rows.select(row_id, same.alias("__c"), X.bare_words(F.col(text)).alias("__w")).where(F.col("__c") != "")
+    gram = lambda n: F.expr(f"CASE WHEN size(__w) >= {n} THEN array_distinct(transform(sequence(1, size(__w) - {n - 1}), i -> array_join(slice(__w, i, {n}), ' '))) ELSE array() END")
+    if lengths:
+        d = d.select(row_id, "__c", F.explode(F.concat(*map(gram, lengths))).alias("__t"))
+    else:
+        d = d.select(row_id, "__c", F.lit("").alias("__t")).limit(0)
+    hit = d.join(known.select("__c", "__t"), ["__c", "__t"]).groupBy(row_id).agg(F.array_sort(F.collect_set(F.struct((-F.length("__t")).alias("n"), F.col("__t").alias("t")))).alias("x"))
+    hit = hit.select(row_id, F.col("x.t").alias("matched_terms"))
+    return rows.join(hit, row_id, "left_anti"), rows.join(hit, row_id)
+
+
 def balanced_sample(rows: DataFrame, code: str, key: str, priority: Column, n: int, most: int, seed: int) -> DataFrame:
     """Round-robin over codes in seeded order, best priority first, at most ``most`` a code, n in all."""
     w = Window.partitionBy(code).orderBy(priority.desc(), seeded(F.col(key), seed), key)

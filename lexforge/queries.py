@@ -102,13 +102,18 @@ def exclude_existing_articles(spark, sf_dir):
 
 def exclude_existing_terms(spark, sf_dir):
     """Documents that hold a known term (the first two words of a benchmark passage) as whole words, with the terms."""
-    flat = lambda c: F.concat(F.lit(" "), F.btrim(F.regexp_replace(X.strip_accents(F.lower(c)), "[^a-z0-9]+", " ")), F.lit(" "))
-    pairs = lambda c: F.transform(F.filter(F.split(F.btrim(flat(c)), " "), lambda x: x != ""), lambda x: x)
-    terms = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(pairs(F.col("text")), 1, 2), " ").alias("term")).distinct().where(F.length("term") > 3)
-    words = table(spark, sf_dir, "documents").select("doc_id", pairs(F.col("text")).alias("w"))
-    # Terms have two words, so the words of a document pairwise are what can equal one: an equality join, no scan of all terms.
-    grams = words.where(F.size("w") > 1).select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))).alias("term"))
-    return grams.join(terms, "term").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
+    terms = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(X.bare_words(F.col("text")), 1, 2), " ").alias("term"))
+    _, excluded = C.exclude_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", terms, least=4)
+    return excluded.select("doc_id", F.array_join(F.array_sort("matched_terms"), "|").alias("terms"))
+
+
+def exclude_terms_of_source(spark, sf_dir):
+    """The same with terms of one to five words, each known in one source only (that of the document of the item's id)."""
+    d = table(spark, sf_dir, "documents")
+    item = table(spark, sf_dir, "benchmark").select("item_id", F.slice(X.bare_words(F.col("text")), F.lit(1), (F.col("item_id") % 5 + 1).cast("int")).alias("w"))
+    terms = item.join(d.select(F.col("doc_id").alias("item_id"), "source"), "item_id").select(F.array_join("w", " ").alias("term"), "source")
+    _, excluded = C.exclude_terms(d.select("doc_id", "source", "text"), "doc_id", "text", terms, "source")
+    return excluded.select("doc_id", F.array_join(F.array_sort("matched_terms"), "|").alias("terms"))
 
 
 def weak_negatives(spark, sf_dir):
@@ -255,7 +260,7 @@ def noise_cleaning(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
+    for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, exclude_terms_of_source, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
 }
 #: Greedy dealing and fitted models have no SQL form; tests hold them against brute force or expected accuracy.
 WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (group_folds, model_metrics, draft_extraction_documents)}
@@ -304,6 +309,9 @@ ORACLE_SQL: dict[str, str] = {
     "exclude_existing_articles": "select doc_id, lower(source) as source from documents where doc_id not in (select doc_id from labels)",
     "exclude_existing_terms": f"""with t as (select distinct array_to_string({_BARE()}[1:2], ' ') as term from benchmark), d as (select doc_id, ' ' || array_to_string({_BARE()}, ' ') || ' ' as flat from documents)
       select doc_id, string_agg(term, '|' order by term) as terms from d join t on length(term) > 3 and contains(flat, ' ' || term || ' ') group by doc_id""",
+    "exclude_terms_of_source": f"""with b as (select item_id, array_to_string({_BARE()}[1:item_id % 5 + 1], ' ') as term from benchmark), t as (select distinct term, source from b join documents on doc_id = item_id),
+      d as (select doc_id, source, ' ' || array_to_string({_BARE()}, ' ') || ' ' as flat from documents)
+      select doc_id, string_agg(term, '|' order by term) as terms from d join t on d.source = t.source and length(term) >= 3 and contains(flat, ' ' || term || ' ') group by doc_id""",
     "weak_negatives": "select doc_id, source from documents where doc_id not in (select doc_id from labels) order by doc_id limit (select count(*) * 12 // 10 from labels where quality = 1)",
     "balanced_priority_sample": f"""with p as (select doc_id, source, list_sum([case when x = 'the' then 3 else 1 end for x in labels])::int + candidate_score + case when noise_risk = 'low' then 2 else 0 end + 1 as priority from {MINED} where len(labels) > 0),
       r as (select *, row_number() over (partition by source order by priority desc, md5(doc_id || ':55'), doc_id) as turn from p) select doc_id, source, priority, turn from r where turn <= 15 order by turn, md5(source || ':55'), source limit 200""",
