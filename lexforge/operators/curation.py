@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -54,11 +55,45 @@ def exclude_terms(rows: DataFrame, row_id: str, text: str, terms: DataFrame, cod
     return rows.join(hit, row_id, "left_anti"), rows.join(hit, row_id)
 
 
-def balanced_sample(rows: DataFrame, code: str, key: str, priority: Column, n: int, most: int, seed: int) -> DataFrame:
-    """Round-robin over codes in seeded order, best priority first, at most ``most`` a code, n in all."""
+def balanced_sample(rows: DataFrame, code: str, key: str, priority: Column, n: int, most: int, seed: int, keys: Column | None = None) -> DataFrame:
+    """Round-robin over codes in seeded order, best priority first, at most ``most`` a code, n in all. With ``keys`` (the
+    article keys of a row), a candidate that shares one with a selected row is passed over for the next of its code."""
     w = Window.partitionBy(code).orderBy(priority.desc(), seeded(F.col(key), seed), key)
-    ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most)
-    return ranked.orderBy("turn", seeded(F.col(code), seed), code).limit(n)
+    ranked = rows.withColumn("turn", F.row_number().over(w))
+    if keys is not None:
+        return _without_conflicts(ranked.withColumn("__keys", keys), code, key, n, most, seed)
+    return ranked.where(F.col("turn") <= most).orderBy("turn", seeded(F.col(code), seed), code).limit(n)
+
+
+def _without_conflicts(ranked: DataFrame, code: str, key: str, n: int, most: int, seed: int) -> DataFrame:
+    """The sequential choice, on the first candidates of each code; with twice as many where a code runs out of them."""
+    sizes = {r[0]: r[1] for r in ranked.groupBy(code).count().collect()}
+    depth = most
+    while True:
+        groups: dict = {}
+        found = ranked.where(F.col("turn") <= depth).select(F.col(code).alias("code"), F.col(key).alias("key"), F.col("turn").alias("at"), "__keys", seeded(F.col(code), seed).alias("h"))
+        for r in sorted(found.collect(), key=lambda r: (r["h"] is not None, r["h"] or "", r["at"])):
+            groups.setdefault(r["code"], []).append(r)
+        taken, known, at, short = [], set(), dict.fromkeys(groups, 0), False
+        for turn in range(1, most + 1):
+            for c, group in groups.items():
+                while len(taken) < n and at[c] < len(group):
+                    r = group[at[c]]
+                    at[c] += 1
+                    if known.isdisjoint(r["__keys"] or ()):
+                        known.update(r["__keys"] or ())
+                        taken.append((r["key"], r["at"], turn, len(taken), r["code"]))
+                        break
+                else:
+                    short |= len(taken) < n and len(group) < sizes[c]
+        if not short:
+            break
+        depth *= 2
+    types = ranked.schema
+    chosen = ranked.sparkSession.createDataFrame(taken, StructType([StructField("__k", types[key].dataType), StructField("__at", LongType()), StructField("__turn", LongType()), StructField("__n", LongType()), StructField("__code", types[code].dataType)]))
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("turn") == F.col("__at")) & F.col(code).eqNullSafe(F.col("__code"))
+    names = [c for c in ranked.columns if c not in ("turn", "__keys")]
+    return ranked.join(F.broadcast(chosen), same).orderBy("__n").select(*names, F.col("__turn").cast("int").alias("turn"))
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -108,14 +143,36 @@ def duplicate_report(rows: DataFrame, key: Column, row_id: str, order: list) ->
 
 
 def merge_versions(rows: DataFrame, exact: Column, coarse: Column, order: list) -> DataFrame:
-    """Adds keep and reason (first, exact_duplicate, same_article_term). Exact where equal exact keys have equal coarse
-    keys: then the first row of each coarse key is what a greedy pass over both keys keeps."""
+    """Adds keep and reason (first, exact_duplicate, same_article_term): a greedy pass in ``order`` keeps a row unless a
+    kept one has its exact or its coarse key. Where equal exact keys have equal coarse keys, which is checked, that is the
+    first row of each coarse key; elsewhere rounds settle it."""
+    tagged = rows.withColumn("__c", coarse).withColumn("__e", exact)
+    if tagged.groupBy("__e").agg(F.min_by(F.struct("__c"), F.struct("__c")).alias("a"), F.max_by(F.struct("__c"), F.struct("__c")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).head(1):
+        return _merge_in_rounds(tagged, order)
     w = Window.partitionBy("__c").orderBy(*order)
-    tagged = rows.withColumn("__c", coarse).withColumn("__e", exact).withColumn("__n", F.row_number().over(w)).withColumn("__f", F.first("__e").over(w))
+    tagged = tagged.withColumn("__n", F.row_number().over(w)).withColumn("__f", F.first("__e").over(w))
     reason = F.when(F.col("__n") == 1, "first").when(F.col("__e").eqNullSafe(F.col("__f")), "exact_duplicate").otherwise("same_article_term")
     return tagged.withColumn("reason", reason).withColumn("keep", F.col("__n") == 1).drop("__c", "__e", "__n", "__f")
 
 
+def _merge_in_rounds(tagged: DataFrame, order: list) -> DataFrame:
+    """Each round keeps the open rows that are first of the open rows of both their keys and drops what shares a key with
+    them; the first open row of all is always one, so the rounds end with the choice of the sequential pass."""
+    tagged = tagged.withColumn("__id", F.monotonically_increasing_id()).localCheckpoint()
+    by = lambda k: Window.partitionBy(k).orderBy(*order, "__id")
+    kept, left = tagged.select("__id").limit(0), tagged
+    while left.head(1):
+        ranked = left.withColumn("__first", (F.row_number().over(by("__e")) == 1) & (F.row_number().over(by("__c")) == 1))
+        over = lambda k: F.max("__first").over(Window.partitionBy(k))
+        ranked = ranked.withColumn("__gone", over("__e") | over("__c")).localCheckpoint()
+        kept = kept.unionByName(ranked.where("__first").select("__id"))
+        left = ranked.where(~F.col("__gone")).select(*tagged.columns).localCheckpoint()
+    out = tagged.join(kept.withColumn("keep", F.lit(True)), "__id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+    known = F.max("keep").over(by("__e").rowsBetween(Window.unboundedPreceding, -1))
+    reason = F.when(F.col("keep"), "first").when(known, "exact_duplicate").otherwise("same_article_term")
+    return out.withColumn("reason", reason).select(*(c for c in tagged.columns if c[:2] != "__"), "reason", "keep")
+
+
 def validate(rows: DataFrame) -> DataFrame:
     """definition_id, severity, message of every broken constraint of the declared schema."""
     blank = lambda c: F.coalesce(F.btrim(F.col(c)), F.lit("")) == ""
