@@ -19,6 +19,8 @@ from lexforge.llm.common import cut, table
 #: No SQL twin: the stages train a network and estimate robust covariances.
 ORACLE_SQL = None
 LEAST_SCORE = 0.3
+#: Words of a shingle in the stage of near duplicates; four are the contract of op8_near_dedup alone.
+SHINGLE = 5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: what else a component holds is dropped by an anti join; so are rows of one id after
     the first."""
-    judged = cut(near_dedup.near_duplicates(docs), "stage-dedup")
+    judged = cut(near_dedup.near_duplicates(docs, SHINGLE), "stage-dedup")
     lost = judged.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     again = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

@@ -106,7 +106,7 @@ def parity(x: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
+def sketch_documents(docs: DataFrame, size: int = K) -> DataFrame:
     """doc_id, n_shingles, key (128-bit digest of the set, null if empty), bands, odd (sketch of the samples), whole
     (parity bitmap of the set): one pass, no shuffle."""
     small_batches(docs.sparkSession, 500)
@@ -116,7 +116,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         for b in batches:
             n, key, bands, odd, whole = [], [], [], [], []
             for text in b["text"].to_pylist():
-                s = shingle_set(text, hashes)
+                s = shingle_set(text, hashes, size)
                 n.append(len(s))
                 if not len(s):
                     key.append(None), bands.append(None), odd.append(None), whole.append(None)
@@ -150,7 +150,7 @@ def likely(a: str, b: str) -> Column:
     return sizes & (differ <= int(bits / 2 * (1 - np.exp(-4 * (1 - SKETCH_FLOOR) * SAMPLES / bits))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, size: int = K) -> DataFrame:
     """(a, b) pairs of ids to those whose full sets reach the similarity."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a")
@@ -164,8 +164,8 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             good = []
             for ta, tb in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True):
                 if ta != last[0]:
-                    last = (ta, shingle_set(ta, hashes))
-                y = shingle_set(tb, hashes)
+                    last = (ta, shingle_set(ta, hashes, size))
+                y = shingle_set(tb, hashes, size)
                 same = len(np.intersect1d(last[1], y, assume_unique=True))
                 good.append(100 * same >= SIMILARITY * (len(last[1]) + len(y) - same) > 0)
             keep = pa.array(good, pa.bool_())
@@ -201,7 +201,7 @@ def named_by(members: DataFrame, names: DataFrame | None) -> DataFrame:
     return members.join(names, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
-def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame) -> DataFrame:
+def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame, size: int = K) -> DataFrame:
     """(id, component) of the linked classes among classes (id, bands, odd), given whole (id, whole)."""
     rows = classes.select("id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -219,7 +219,7 @@ def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame) -> D
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         fresh = cut(pairs, "dedup-pairs")
-        got = cut(confirm(fresh, docs), "dedup-links")
+        got = cut(confirm(fresh, docs, size), "dedup-links")
         tried = fresh if tried is None else tried.union(fresh)
         links = got if links is None else links.union(got)
         return got
@@ -254,9 +254,9 @@ def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame) -> D
     return named.join(over.select(F.col("id").alias("c"), F.col("component").alias("top")), "c", "left").select("id", F.coalesce("top", "c").alias("component"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of docs."""
-    sketches = cut(sketch_documents(docs), "dedup-sketches")
+def near_duplicates(docs: DataFrame, size: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per row of docs; shingles have ``size`` words."""
+    sketches = cut(sketch_documents(docs, size), "dedup-sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     same = cut(named.groupBy("key").agg(F.min("doc_id").alias("id")), "dedup-classes")
     # A class takes the bands of the row that carries its least id.
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     copies = named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     # Copies hang on their class, one edge each; the classes' components then name them in one join.
-    found = class_components(classes.select("id", "bands", "odd"), named.select(F.col("doc_id").alias("id"), "whole").distinct(), texts)
+    found = class_components(classes.select("id", "bands", "odd"), named.select(F.col("doc_id").alias("id"), "whole").distinct(), texts, size)
     roots = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("id"))
     own = sketches.select("doc_id", "n_shingles").join(roots, "doc_id", "left").withColumn("id", F.coalesce("id", "doc_id"))
     out = own.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))

@@ -1,0 +1,13 @@
+"""Stages of the pipeline."""
+
+import corpus_pipeline
+from lexforge.llm import near_dedup
+
+
+def test_dedup_stage_takes_five_words(spark):
+    """One word of 40 changed: 33 of 41 shingles of four words are common, 31 of 41 of five."""
+    words = [[f"w{p}x{i}" for i in range(40)] for p in range(3)]
+    rows = [(2 * p + j, " ".join(w if i != 20 or not j else "other" for i, w in enumerate(words[p])), "en", "a", 1) for p in range(3) for j in (0, 1)]
+    docs = spark.createDataFrame([*rows, (9, rows[0][1], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()) == [0, 2, 4]
