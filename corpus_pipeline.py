@@ -18,7 +18,8 @@ from lexforge.llm.common import cut, table
 
 #: No SQL twin: the stages train a network and estimate robust covariances.
 ORACLE_SQL = None
-LEAST_SCORE = 0.3
+#: Over held-out rows of 20 words or more on sf0.01, 241 of 241 texts reach it, and 5 of 241 whose letters are drawn at random.
+LEAST_SCORE = 0.6
 #: Words of a shingle in the stage of near duplicates; four are the contract of op8_near_dedup alone.
 SHINGLE = 5
 

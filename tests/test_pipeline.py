@@ -1,5 +1,8 @@
 """Stages of the pipeline."""
 
+import random
+import zlib
+
 import corpus_pipeline
 from lexforge.llm import near_dedup
 
@@ -11,3 +14,14 @@ def test_dedup_stage_takes_five_words(spark):
     docs = spark.createDataFrame([*rows, (9, rows[0][1], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5]
     assert sorted(r["doc_id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()) == [0, 2, 4]
+
+
+def test_language_stage_rejects_by_score(spark):
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and len((r["text"] or "").split()) >= 20]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if x.isalpha() else x for x in r["text"]) for r in held]
+    rows = [(10**7 + r["doc_id"], t, None, r["source"], r["n_chars"]) for r, t in zip(held, noise, strict=True)]
+    stay = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), "").collect()}
+    assert len(held) > 200 and sum(r["doc_id"] in stay for r in held) >= 0.99 * len(held)
+    assert sum(r[0] in stay for r in rows) <= 0.05 * len(rows)
