@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Word separators of every contract here: space and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a local master gets a temporary one,
+    and any other an error: there, a folder of the driver's machine would not be seen by executors."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexforge-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,18 +41,28 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by cut() that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_lexforge_path", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            delete(df.sparkSession, path)
+
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, a table of short rows made by cut(), marked for broadcast if it has at most ``most`` rows; else as it is,
+    so that joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds an Arrow batch of texts, so that a worker holds few long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds an Arrow batch of texts, so that a worker holds few long texts at once. Frames are lazy, so the bound is
+    the same for all operators and stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -64,3 +78,11 @@ def words_of(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
+
+
+def printed_bytes() -> list[str]:
+    """The character that prints each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    alphabet = sorted(ByteLevel.alphabet())
+    own = [ord(c) for c in alphabet if ord(c) < 256]
+    others = dict(zip(sorted(set(range(256)) - set(own)), alphabet[len(own) :], strict=True))
+    return [others.get(b, chr(b)) for b in range(256)]
