@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule (DataFrame functions only).
 
-Golden-ratio points are mapped through the cumulative target shares, so that every stretch of the schedule holds the
-sources in their proportions. The slots of a source are ranked; slot k takes block k (again from the first after the
-last) of that source's documents, shuffled by a hash of their ids and cut into blocks of equally many words. The last
-slot of a source takes only as much of its block as its target still asks for.
+The mix has about SLOTS slots of equally many words. Golden-ratio points are mapped through the cumulative target shares
+of the sources, so that every stretch of the schedule holds the sources in their proportions. The slots of a source are
+ranked; slot k takes block k of that source's documents, which are shuffled by a hash of their ids and cut into blocks of
+a slot's words; after the last block a second pass begins, after which further slots stay empty. What a document gives
+to the mix follows from the points alone: a source comes within a few slots of its target, a few millionths of the mix.
 
 Ranks and running sums go by (source, bucket) first and then over bucket totals, so no source is ever in one task.
 
@@ -17,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, small, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCK_WORDS = 4096
+SLOTS = 1 << 20
 BUCKET_BITS = 10
 SEED = "mix-1:"
 GOLDEN = 0.6180339887498949
@@ -34,7 +35,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """A row per source: number, size, target, whole epochs, words of the last epoch, blocks, slots.
+    """A row per source: number, size, target, cumulative target share, and the words and number of all slots.
 
     Water filling: sources sorted by how soon their bound of ``most`` times their size is reached; the level is the
     largest that any prefix of full sources leaves, and each target is the lesser of the bound and level times weight.
@@ -49,18 +50,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     s = s.withColumn("left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.max(F.col("spare") / F.col("left")).over(whole))
     s = s.withColumn("target", F.least(F.col("source_size").cast("double") * most, F.col("level") * F.col("w")))
-    s = s.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * most))
-    full = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)
-    s = s.withColumn("epochs", full).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
-    s = s.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS)).withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK_WORDS))
-    share_of = F.sum("words").over(Window.orderBy("sid")) / F.greatest(F.sum("words").over(whole), F.lit(1))
-    return s.select("source", "sid", "source_size", "target", "words", "epochs", "rest", "blocks", "slots", share_of.alias("upto"))
+    total = F.sum("target").over(whole)
+    share_of = F.sum("target").over(Window.orderBy("sid")) / F.greatest(total, F.lit(1e-9))
+    s = s.withColumn("block", F.greatest(F.ceil(total / SLOTS), F.lit(1)).cast("long")).withColumn("n", F.ceil(total / F.col("block")).cast("long"))
+    return s.select("source", "sid", "source_size", "target", share_of.alias("upto"), "block", "n")
 
 
 def schedule(targets: DataFrame) -> DataFrame:
-    """The mix in order: slot, sid, block, take (words of the block that the slot takes, from its start)."""
+    """The mix in order: slot, sid, pass (0 or 1), at (number of the block that the slot takes)."""
     spark = targets.sparkSession
-    n = targets.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    n = targets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     bounds = targets.agg(F.sort_array(F.collect_list("upto")).alias("b")).scalar()
     points = spark.range(0, n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1.0).alias("u"), bounds.alias("b"))
     drawn = points.select("slot", F.expr("cast(least(size(filter(b, x -> x <= u)) + 1, size(b)) as int)").alias("sid"), F.expr("slot div 65536").alias("chunk"))
@@ -68,31 +67,25 @@ def schedule(targets: DataFrame) -> DataFrame:
     offset = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n")).select("sid", "chunk", upto.alias("offset"))
     local = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("local", local).join(offset, ["sid", "chunk"]).select("slot", "sid", (F.col("local") + F.col("offset")).alias("k"))
-    got = drawn.groupBy("sid").agg(F.count("*").alias("got"))
-    # The discrepancy of the points leaves a source a few slots short or over: the tail adds them, k < slots drops them.
-    tail = targets.join(got, "sid", "left").where("slots > coalesce(got, 0)").select(F.lit(n).cast("long").alias("slot"), "sid", F.explode(F.expr("sequence(coalesce(got, 0), slots - 1)")).alias("k"))
-    what = targets.select("sid", "source_size", "words", "blocks", "slots")
-    slots = ranked.unionByName(tail).join(what, "sid").where("k < slots")
-    slots = slots.withColumn("epoch", F.expr("k div blocks")).withColumn("block", F.expr("k % blocks"))
-    length = F.least(F.lit(BLOCK_WORDS), F.col("source_size") - F.col("block") * BLOCK_WORDS)
-    take = F.least(length, F.col("words") - F.col("epoch") * F.col("source_size") - F.col("block") * BLOCK_WORDS)
-    return slots.select("slot", "sid", "block", take.alias("take")).where("take > 0")
+    blocks = targets.select("sid", F.expr("(source_size + block - 1) div block").alias("blocks"))
+    return ranked.join(blocks, "sid").where(F.col("k") < MOST * F.col("blocks")).select("slot", "sid", F.expr("cast(k div blocks as int)").alias("pass"), F.expr("k % blocks").alias("at"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted), a row per document."""
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_slot and second_slot
+    (where either pass first takes of the document, or null), a row per document."""
     sizes = cut(sized(docs), "mix-sizes")
     targets = cut(source_targets(sizes), "mix-targets")
-    small = targets.select("source", "sid", "source_size", "target")
-    keyed = sizes.join(small, sizes["source"].eqNullSafe(small["source"])).select("doc_id", "size", "h", "sid", "source_size", "target", F.shiftright("h", 60 - BUCKET_BITS).alias("bucket"))
+    lookup = small(targets.select("source", "sid", "source_size", "target", "block"), 10_000)
+    keyed = sizes.join(lookup, sizes["source"].eqNullSafe(lookup["source"])).select("doc_id", "size", "h", "sid", "source_size", "target", "block", F.shiftright("h", 60 - BUCKET_BITS).alias("bucket"))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
     running = keyed.withColumn("rn", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     base = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")
     offset = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", base.alias("base"))
     placed = running.join(offset, ["sid", "bucket"]).withColumn("from", F.col("base") + F.col("upto") - F.col("size"))
-    span = F.when(F.col("size") > 0, F.sequence(F.expr(f"`from` div {BLOCK_WORDS}"), F.expr(f"(`from` + size - 1) div {BLOCK_WORDS}")))
-    pieces = placed.withColumn("block", F.explode_outer(span))
-    lo, hi = F.greatest(F.col("from") - F.col("block") * BLOCK_WORDS, F.lit(0)), F.least(F.col("from") + F.col("size") - F.col("block") * BLOCK_WORDS, F.lit(BLOCK_WORDS))
-    used = pieces.join(schedule(targets).select("sid", "block", "take"), ["sid", "block"], "left")
-    part = F.when(F.col("take").isNull(), 0).otherwise(F.greatest(F.least(hi, "take") - lo, F.lit(0)))
-    return used.groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(part).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    pieces = placed.withColumn("at", F.explode_outer(F.expr("CASE WHEN size > 0 THEN sequence(`from` div block, (`from` + size - 1) div block) END")))
+    part = F.least(F.col("from") + F.col("size"), (F.col("at") + 1) * F.col("block")) - F.greatest(F.col("from"), F.col("at") * F.col("block"))
+    used = pieces.withColumn("part", part).join(schedule(targets), ["sid", "at"], "left")
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("part"))), F.lit(0))
+    slots = [F.min(F.when(F.col("pass") == p, F.col("slot"))).alias(name) for p, name in enumerate(("first_slot", "second_slot"))]
+    return used.groupBy("sid", "bucket", "rn", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"), *slots).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "second_slot")

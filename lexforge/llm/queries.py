@@ -58,15 +58,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_token_counts, op4_url_filter, op5_quality_rules, op6_quality_model, op7_language_id, op8_near_dedup, op9_packing, op10_fingerprints)}
 
-_ESCAPED = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
+_ESCAPED = r"replace(coalesce(text, ''), '<|', '<|\')"
 _ROLE = r"replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '|', '\p')"
 
 OP1_SQL = rf"""with t as (select conv_id, turn, role, text from conversations
   union all select -1, 0, 'user', '{BOTH_SAY}' union all select -1, 1, 'assistant', '{BOTH_SAY}')
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' order by turn nulls first, coalesce(role, ''), coalesce(text, ''))) as turns_sha256,
   sum(case when role = 'assistant' then length(coalesce(text, '')) else 0 end)::bigint as loss_chars,
-  sha256(coalesce(string_agg(case when role = 'assistant' then coalesce(text, '') else '' end, '' order by turn, role, text), '')) as loss_sha256,
+  sha256(coalesce(string_agg(case when role = 'assistant' then coalesce(text, '') else '' end, '' order by turn nulls first, coalesce(role, ''), coalesce(text, '')), '')) as loss_sha256,
   sum(length('{chat_format.START}') + length({_ROLE}) + 1 + length({_ESCAPED}) + length('{chat_format.END}') + 1)::bigint as formatted_chars
 from t group by conv_id"""
 
@@ -78,12 +78,18 @@ OP2_SQL = f"""with d as (select doc_id, source, {_SIZE} as size, ('0x' || substr
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as sid from d group by source),
 w as (select *, ([{", ".join(f"{x}::double" for x in mixing.WEIGHTS)}])[(sid - 1) % {len(mixing.WEIGHTS)} + 1] as w from s),
 k as (select *, (sum(source_size) over () * {mixing.SHARE}::double - coalesce(sum(source_size) over {_BEFORE}, 0) * {mixing.MOST}) / (sum(w) over () - coalesce(sum(w) over {_BEFORE}, 0)) as lv from w),
-t as (select source, source_size, least(source_size::double * {mixing.MOST}, (max(lv) over ()) * w) as target from k),
-p as (select doc_id, size, source_size, target, least(round(target)::bigint, {mixing.MOST} * source_size) as words,
-  (sum(size) over (partition by d.source order by h, doc_id nulls first, size rows unbounded preceding) - size)::bigint as beg
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(size, words % source_size - beg)) end)::bigint as taken from p"""
+t as (select source, sid, source_size, least(source_size::double * {mixing.MOST}, (max(lv) over ()) * w) as target from k),
+b as (select *, sum(target) over (order by sid) / sum(target) over () as upto, greatest(1, ceil(sum(target) over () / {mixing.SLOTS}::double))::bigint as block, sum(target) over () as total from t),
+g as (select *, coalesce(lag(upto) over (order by sid), 0) as low, case when sid = max(sid) over () then 2 else upto end as high, ((source_size + block - 1) // block)::bigint as blocks from b),
+u as (select i as slot, ((i + 0.5::double) * {mixing.GOLDEN}::double) % 1.0::double as u from range(0, (select ceil(max(total / block))::bigint from b)) r(i)),
+a as (select sid, slot, row_number() over (partition by sid order by slot) - 1 as k from u join g on u >= low and u < high),
+c as (select g.*, least((select count(*) from a where a.sid = g.sid), {mixing.MOST} * blocks)::bigint as got from g),
+p as (select doc_id, size, sid, source_size, target, block, blocks, got, (sum(size) over (partition by d.source order by h, doc_id nulls first, size rows unbounded preceding) - size)::bigint as beg
+  from d join c on d.source is not distinct from c.source)
+select doc_id, size, source_size, target, (greatest(0, least(beg + size, block * got) - beg) + greatest(0, least(beg + size, block * greatest(got - blocks, 0)) - beg))::bigint as taken,
+  x.slot as first_slot, y.slot as second_slot
+  from p left join a x on size > 0 and x.sid = p.sid and x.k = beg // block and x.k < least(got, blocks)
+  left join a y on size > 0 and y.sid = p.sid and y.k = blocks + beg // block and y.k < got"""
 
 OP8_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as materialized (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
