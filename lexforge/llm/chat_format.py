@@ -6,7 +6,7 @@ and its expanded token count is recorded. Turns are rendered one by one, before
 conversation back as a whole (digests) needs its turns in order, and streams them.
 
 Defined cases: a null role or text is empty; a null conversation id is a conversation of its own; turns sort by
-(turn, role, text) with nulls first, so ties and repeated rows are all kept in a fixed order; no rows give no rows;
+(turn, role, text), a null turn first, so ties and repeated rows are all kept in a fixed order; no rows give no rows;
 columns other than those named are ignored.
 """
 
@@ -28,16 +28,16 @@ START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLES = frozenset({"assistant"})
 ATTACHMENT = "struct<kind:string,ref:string,at:int,tokens:bigint>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
-SEGMENT = f"conv_id bigint, turn bigint, segment string, loss_from int, loss_to int, tokens bigint, attachments array<{ATTACHMENT}>"
+SEGMENT = f"conv_id bigint, turn bigint, role string, segment string, loss_from int, loss_to int, tokens bigint, attachments array<{ATTACHMENT}>"
 
 
 def escape(text: str) -> str:
-    """Puts one backslash into every ``<|``, ``<\\|``, ``<\\\\|`` ...: no control string is left, and none is lost."""
-    return re.sub(r"<(\\*)\|", r"<\1\\|", text) if "|" in text else text
+    """Puts a backslash after every ``<|``: no control string is left, none is lost, and texts keep their order."""
+    return text.replace("<|", "<|\\")
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "|" in text else text
+    return text.replace("<|\\", "<|")
 
 
 def escape_role(role: str) -> str:
@@ -56,6 +56,7 @@ class PartVisitor:
     audio_rate: float = 25.0
     page_tokens: int = 256
     out: list[str] = field(default_factory=list)
+    said: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
 
@@ -63,7 +64,7 @@ class PartVisitor:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.said.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         tiles = math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch)
@@ -79,17 +80,24 @@ class PartVisitor:
         raise ValueError(f"unknown part type {part.get('type')!r}")
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.flush()
         at = len(self.attachments)
         self.out.append(f"<|{kind}:{at}|>")
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": at, "tokens": tokens})
         self.tokens += tokens
 
+    def flush(self) -> None:
+        """Adjoining texts are escaped as one, since a control string may lie across them."""
+        self.out.append(escape("".join(self.said)))
+        self.said.clear()
+
 
 def render(role: str | None, parts: list[dict]) -> tuple[str, int, int, int, list[dict]]:
     """One turn: its segment, the part of it under the loss mask (code points), attachment tokens, attachments."""
     visitor = PartVisitor()
     for part in parts:
         visitor.visit(part)
+    visitor.flush()
     head, body = f"{START}{escape_role(role or '')}\n", "".join(visitor.out)
     loss = (len(head), len(head) + len(body)) if role in LOSS_ROLES else (0, 0)
     return f"{head}{body}{END}\n", *loss, visitor.tokens, visitor.attachments
@@ -109,8 +117,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
         for b in batches:
             done = [render(role, parts if parts is not None else [{"type": "text", "text": text}]) for role, text, parts in zip(b["role"].to_pylist(), b["text"].to_pylist(), b["parts"].to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())]))
-            columns = [b["conv_id"], b["turn"], *(pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), kind)))]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "segment", "loss_from", "loss_to", "tokens", "attachments"])
+            columns = [b["conv_id"], b["turn"], b["role"], *(pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), kind)))]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "segment", "loss_from", "loss_to", "tokens", "attachments"])
 
     return rows.mapInArrow(run, SEGMENT)
 
@@ -125,7 +133,10 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
     by Spark (which spills) and streamed, so that a conversation of any length takes constant memory.
     """
     small_batches(segments.sparkSession)
-    ordered = segments.select("conv_id", "turn", "segment", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    # Of one turn and role the heads are alike, so bodies compare as their texts do; the sort reads them only to part ties.
+    body = F.expr(f"substring(segment, 1, length(segment) - {len(END) + 1})")
+    dealt = segments.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "segment", "loss_from", "loss_to").repartition("conv_id")
+    ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", body).select("conv_id", "segment", "loss_from", "loss_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
