@@ -1,11 +1,12 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table of frequent pre-tokens and their lengths in tokens (at most FREQUENT entries, gathered
-from at most SAMPLE_ROWS texts cut at SAMPLE_CHARS: only speed depends on it). Tier two is a cache in each worker: what
-the table misses is encoded once by the tokenizer. Nothing is shuffled.
+Tier one is a broadcast table of frequent pre-tokens and their lengths in tokens: at most FREQUENT entries, counted by
+one task over about SAMPLE_ROWS whole texts, a hash sample (only speed depends on it). Tier two is a cache in each
+worker: what the table misses is encoded once by the tokenizer. No pre-token is shuffled.
 
-Texts of common characters are split by a regular expression equal to the tokenizer's own. Texts with any other
-character, or with one of the tokenizer's special strings, are counted by the library whole.
+Texts of common characters are split by a regular expression equal to the tokenizer's own; texts with any other character
+by the tokenizer's own normaliser and split, which is slower. Both look up the same table and cache. Only texts with one
+of the tokenizer's special strings are counted by the library whole.
 
 Defined cases: null text is empty (0 bytes, 0 tokens); repeated rows are each counted; no rows give no rows; a null id
 stays null; other columns are ignored.
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import printed_bytes, small_batches
 
-FREQUENT, SAMPLE_ROWS, SAMPLE_CHARS = 1 << 16, 2000, 4096
+FREQUENT, SAMPLE_ROWS, SEED = 1 << 16, 2000, 3
 CACHE = 400_000
 LIMIT = 2048
 
@@ -42,34 +43,61 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Lengths(dict):
-    """Pre-token to its number of tokens; misses are encoded and kept, up to CACHE of them."""
+    """Pre-token, in the printed bytes of the tokenizer's alphabet, to its number of tokens; misses are encoded and kept,
+    up to CACHE of them. A pre-token of ASCII is printed as itself."""
 
     def __init__(self, frequent: dict[str, int], path: str):
         super().__init__(frequent)
         self.frequent, self.path = frequent, path
 
-    def __missing__(self, pre_token: str) -> int:
-        n = len(tokenizer(self.path).encode(pre_token, add_special_tokens=False).ids)
+    def __missing__(self, printed: str) -> int:
+        n = len(tokenizer(self.path).model.tokenize(printed))
         if len(self) >= len(self.frequent) + CACHE:
             self.clear()
             self.update(self.frequent)
-        self[pre_token] = n
+        self[printed] = n
         return n
 
 
+#: Bytes to the characters that print them; what is not ASCII in a pre-token goes through this table.
+PRINTED = dict(zip(range(256), printed_bytes(), strict=True))
+
+
+def pre_tokens(text: str, path: str) -> list[str]:
+    """The printed pre-tokens of a text without special strings."""
+    if COMMON.fullmatch(text) is not None:
+        found = PRE_TOKEN.findall(text.lower())
+        return found if text.isascii() else [w if w.isascii() else "".join(map(PRINTED.__getitem__, w.encode())) for w in found]
+    own = tokenizer(path)
+    return [w for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))]
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
 def count(text: str, lengths: Lengths, special: tuple[str, ...]) -> int:
-    if COMMON.fullmatch(text) is None or any(s in text for s in special):
+    if any(s in text for s in special):
         return len(tokenizer(lengths.path).encode(text, add_special_tokens=False).ids)
-    return sum(map(lengths.__getitem__, PRE_TOKEN.findall(text.lower())))
+    return sum(map(lengths.__getitem__, pre_tokens(text, lengths.path)))
+
+
+def frequent_lengths(rows: DataFrame, path: str) -> dict[str, int]:
+    """The FREQUENT most frequent pre-tokens of a hash sample of rows (doc_id, text), and their lengths: one task counts,
+    at most FREQUENT rows reach the driver."""
+    share = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).where(F.col("text").isNotNull()).select("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for text in b["text"].to_pylist():
+                seen.update(pre_tokens(text, path))
+        lengths = Lengths({}, path)
+        words = [w for w, _ in seen.most_common(FREQUENT)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([lengths[w] for w in words], pa.int32())], ["word", "n"])
 
-def frequent_lengths(texts: list[str | None], path: str) -> dict[str, int]:
-    seen: Counter[str] = Counter()
-    for text in texts:
-        if text and COMMON.fullmatch(text):
-            seen.update(PRE_TOKEN.findall(text.lower()))
-    words = [w for w, _ in seen.most_common(FREQUENT)]
-    return dict(zip(words, (len(e.ids) for e in tokenizer(path).encode_batch(words, add_special_tokens=False)), strict=True))
+    return {r["word"]: r["n"] for r in chosen.repartition(1).mapInArrow(run, "word string, n int").collect()}
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -78,9 +106,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sample = [r[0] for r in rows.select(F.substring("text", 1, SAMPLE_CHARS)).take(SAMPLE_ROWS)]
-    table = spark.sparkContext.broadcast(frequent_lengths(sample, path))
-    special = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    table = spark.sparkContext.broadcast(frequent_lengths(rows, path))
+    special = special_strings(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(table.value, path)
