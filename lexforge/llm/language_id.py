@@ -2,8 +2,8 @@
 
 One network reads a window of bytes forwards, one backwards; at every position a softmax over both states labels the
 byte's language, and a document's probabilities are the mean over all its positions. Training is by backpropagation
-through time with Adam on the driver, from at most TRAIN_DOCS texts a language (a hash sample) and WINDOWS_EACH windows
-of each; long texts are read in windows of CORE bytes with EDGE bytes of context on either side, all positions counted.
+through time with Adam on the driver, from about TRAIN_DOCS texts a language (a hash sample) and WINDOWS_EACH windows at
+hashed places of each whole text; long texts are read in windows of CORE bytes with EDGE bytes of context on either side, all positions counted.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows of null language are never learnt
 from; with no labelled rows every document is ``und``; ties between languages go to the first by code point; repeated
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import remainder, small_batches
 
 HIDDEN, STEPS, BATCH, RATE, SEED = 6, 300, 64, 0.02, 5
-TRAIN_DOCS, WINDOWS_EACH, TRAIN_CHARS = 300, 3, 4096
+TRAIN_DOCS, WINDOWS_EACH = 300, 3
 TRAIN_BYTES, CORE, EDGE = 112, 184, 8
 LANES = 1024
 UND = "und"
@@ -168,7 +168,7 @@ class Network:
 
 
 def train(examples: list[tuple[str, str]]) -> Network | None:
-    """(text, language) pairs to a network; None without any."""
+    """(window, language) pairs to a network; None without any."""
     examples = [(t.encode(), lang) for t, lang in examples if t and lang]
     if not examples:
         return None
@@ -176,8 +176,7 @@ def train(examples: list[tuple[str, str]]) -> Network | None:
     rng = np.random.default_rng(SEED)
     by: list[list[np.ndarray]] = [[] for _ in net.languages]
     for raw, lang in sorted(examples):
-        for at in rng.integers(0, max(1, len(raw) - TRAIN_BYTES + 1), WINDOWS_EACH):
-            by[net.languages.index(lang)].append(np.frombuffer(raw[at : at + TRAIN_BYTES].ljust(TRAIN_BYTES, b"\n"), np.uint8))
+        by[net.languages.index(lang)].append(np.frombuffer(raw[:TRAIN_BYTES].ljust(TRAIN_BYTES, b"\n"), np.uint8))
     pools = [np.stack(x) for x in by]
     moments: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k in range(1, STEPS + 1):
@@ -192,7 +191,8 @@ def train(examples: list[tuple[str, str]]) -> Network | None:
 
 
 def sample(docs: DataFrame, fold_of: int, held: int) -> list[tuple[str, str]]:
-    """About TRAIN_DOCS texts (cut to TRAIN_CHARS) of each language, from rows that may be learnt from, by hash."""
+    """WINDOWS_EACH windows, at hashed places, of about TRAIN_DOCS whole texts of each language, from rows that may be
+    learnt from, by hash. Only windows reach the driver: at most so many a language."""
     rows = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", fold_of) != held) & F.rlike("text", F.lit(r"\S")))
     counts = rows.groupBy("lang").count().collect()  # a row a language
     rank = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 40))
@@ -203,14 +203,17 @@ def sample(docs: DataFrame, fold_of: int, held: int) -> list[tuple[str, str]]:
         chosen = here if chosen is None else chosen | here
     if chosen is None:
         return []
-    got = rows.where(chosen).select(F.substring("text", 1, TRAIN_CHARS), "lang", rank.alias("k")).orderBy("k").limit(2 * TRAIN_DOCS * len(counts)).collect()
-    return [(r[0], r[1]) for r in got]
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1 + j)), F.greatest(F.length("text") - TRAIN_BYTES + 1, F.lit(1))) + 1 for j in range(WINDOWS_EACH)]
+    windows = F.array(*(F.substring("text", p.cast("int"), F.lit(TRAIN_BYTES)) for p in at))
+    got = rows.where(chosen).select(windows.alias("w"), "lang", rank.alias("k")).orderBy("k", "w").limit(2 * TRAIN_DOCS * len(counts)).collect()
+    return [(w, r["lang"]) for r in got for w in r["w"]]
 
 
 def identify(docs: DataFrame, fold_of: int = 4, held: int = 2, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text; with carry: all columns of docs, then lang_pred, score."""
+    """doc_id, held_out, lang_pred, score of every whole text; with carry: struct row of all
+    columns of docs, lang_pred, score."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     net = spark.sparkContext.broadcast(train(sample(docs, fold_of, held)))
     held_out = (remainder("doc_id", fold_of) == held).alias("held_out")
     columns = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else [F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out).alias("row")]
@@ -235,4 +238,5 @@ def identify(docs: DataFrame, fold_of: int = 4, held: int = 2, carry: bool = Fal
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(lang), pa.array(score)], ["row", "lang_pred", "score"])
 
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+    out = rows.mapInArrow(run, schema)
+    return out if carry else out.select("row.*", "lang_pred", "score")
