@@ -3,12 +3,15 @@
 Every partition turns its documents into token pieces and packs them best-fit (largest first) into sequences. Nearly full
 sequences are final. The others become items themselves: partitions are merged FAN_IN to one and packed best-fit again,
 until one partition is left or merging no longer helps. A task never holds more than MOST_ITEMS items at once; the rest
-of its partition follows in further lots.
+of its partition follows in further lots. Lots and the early end lose no piece; they cost fill, at most what the bins
+that stay underfull leave empty.
 
 Token ids are found as the library gives them: texts of common characters go through a second implementation of byte
-pairs over the same vocabulary, which merges by the rank of the merged token. The two agree if every token of the
-vocabulary is what the library makes of that token's own string, which is checked before each run; for a vocabulary where
-that fails, for other texts and for texts with a special string the library is asked. Ids never leave the task: a piece
+pairs over the same vocabulary, which merges by the rank of the merged token. The two agree if merges come in the order
+of the tokens that they make, each token being made by one, and if every token of the vocabulary is what the library
+makes of that token's own string (a piece of a longer text merges as it would alone, so two neighbours that make up a
+token are its own merge). Both are checked before each run; for a vocabulary where that fails, for other texts and for
+texts with a special string the library is asked. Ids never leave the task: a piece
 carries its place, length and checksum.
 
 Defined cases: null text is empty, and gives one piece of just the end token; ties pack in the order of (id, start);
@@ -17,6 +20,7 @@ repeated rows are each packed; a null id stays null; no documents give no rows;
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,9 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import cut, small_batches
+from .common import cut, printed_bytes, small_batches
 
 CAPACITY, END_ID, SLACK, FAN_IN, MOST_ITEMS = 1024, 2, 8, 8, 200_000
 #: Characters whose class and white space are the same in the tokenizer and in Python.
@@ -53,11 +56,14 @@ def by_rank(path: str) -> tiktoken.Encoding | None:
     """The same vocabulary for merging by rank; None where that may differ from the library."""
     own = tokenizer(path)
     vocab = own.get_vocab(with_added_tokens=False)
-    alphabet = sorted(ByteLevel.alphabet())  # a byte is its own character if printable, else one from 256 on
-    printed = {c: ord(c) for c in alphabet if ord(c) < 256}
-    to_byte = printed | dict(zip(alphabet[len(printed) :], sorted(set(range(256)) - set(printed.values())), strict=True))
+    to_byte = {c: b for b, c in enumerate(printed_bytes())}
     special = {t.content for t in own.get_added_tokens_decoder().values()}
     plain = {token: i for token, i in vocab.items() if token not in special}
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+    if any(a >= b for a, b in zip([-1, *made], made, strict=False)):
+        return None
     if any(not to_byte.keys() >= set(token) or [x.id for x in own.model.tokenize(token)] != [i] for token, i in plain.items()):
         return None
     return tiktoken.Encoding("by_rank", pat_str=PRE_TOKEN, mergeable_ranks={bytes(map(to_byte.get, token)): i for token, i in plain.items()}, special_tokens={})
