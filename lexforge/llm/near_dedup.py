@@ -7,7 +7,8 @@ already in the centre's component need no comparison. What is then still split i
 bucket, first by parity bitmaps of the whole sets: the XOR of two has at most as many ones as the sets differ in shingles,
 so what it rules out can never be linked, and families of short documents just under the threshold yield no pairs. So a bucket of m copies costs about m comparisons a round, not m squared, and no bucket, list of partners or
 number of candidates is capped. Every link is confirmed on whole sets of 64-bit shingle hashes; components are found by
-alternating large-star and small-star steps on tables, never on the driver.
+alternating large-star and small-star steps on tables, never on the driver. Only texts that share a band are read for
+this, from a table bucketed by id; a round moves one text a pair, and the pairs of a frequent centre are dealt to lots.
 
 BANDS bands of ROWS samples miss a pair at similarity 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS, under 1e-5; the
 sketch test (SAMPLES samples in 64 * SKETCH_WORDS bits, a deviation of 0.021) drops it only if its estimate is under
@@ -21,6 +22,7 @@ no documents give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small_batches
+from .common import cut, delete, discard, shared_dir, small_batches
 
 K, SIMILARITY = 4, 80
 BANDS, ROWS = 30, 5
 SAMPLES, SKETCH_WORDS, SKETCH_FLOOR, ROUNDS = 640, 32, 0.715, 3
 WHOLE_WORDS = 16
 WORD_CACHE = 500_000
+#: Pairs of one document that a task of the last join takes, about.
+LOT = 2000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +113,7 @@ def parity(x: np.ndarray, words: int) -> np.ndarray:
 def sketch_documents(docs: DataFrame, size: int = K) -> DataFrame:
     """doc_id, n_shingles, key (128-bit digest of the set, null if empty), bands, odd (sketch of the samples), whole
     (parity bitmap of the set): one pass, no shuffle."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketcher = WordHashes(), Sketcher()
@@ -150,12 +154,35 @@ def likely(a: str, b: str) -> Column:
     return sizes & (differ <= int(bits / 2 * (1 - np.exp(-4 * (1 - SKETCH_FLOOR) * SAMPLES / bits))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int = K) -> DataFrame:
-    """(a, b) pairs of ids to those whose full sets reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "ta"), "a")
-    both = first.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
-    small_batches(docs.sparkSession, 500)
+class Pool:
+    """The texts of candidates as a table bucketed by id: no join on the id moves them again."""
+
+    def __init__(self, docs: DataFrame, ids: DataFrame):
+        """docs (id, text), ids (id)."""
+        spark = docs.sparkSession
+        self.spark, self.name = spark, f"lexforge_pool_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/lexforge/{self.name}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = docs.repartition(n, "id").join(ids.repartition(n, "id"), "id", "left_semi")
+        rows.write.bucketBy(n, "id").sortBy("id").option("path", self.path).saveAsTable(self.name)
+
+    def texts(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def confirm(pairs: DataFrame, pool: Pool, size: int = K) -> DataFrame:
+    """(a, b) pairs of ids to those whose full sets reach the similarity. The text of b travels to that of a; the pairs
+    of an a that has many are dealt to lots of about LOT, each with its own copy of a's text."""
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    first = pool.texts().join(lots.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("text").alias("ta"))
+    dealt = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), F.col("b").alias("id"))
+    second = pool.texts().join(dealt, "id").select("a", "lot", F.col("id").alias("b"), F.col("text").alias("tb"))
+    both = second.join(first, ["a", "lot"]).select("a", "b", "ta", "tb")
+    small_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -191,82 +218,89 @@ def components(edges: DataFrame) -> DataFrame:
         inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
         twice = edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
         if not inner.select("v").union(twice.select("v")).head(1):
-            return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
+            out = edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
+            out._lexforge_path = edges._lexforge_path
+            return out
 
 
-def named_by(members: DataFrame, names: DataFrame | None) -> DataFrame:
+def named_by(members: DataFrame, names: DataFrame) -> DataFrame:
     """Members with label: the name that (id, component) rows give them, else their own id."""
-    if names is None:
-        return members.withColumn("label", F.col("id"))
     return members.join(names, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
-def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame, size: int = K) -> DataFrame:
-    """(id, component) of the linked classes among classes (id, bands, odd), given whole (id, whole)."""
+def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame, known: DataFrame, size: int = K) -> DataFrame:
+    """(id, component) of the linked classes among classes (id, bands, odd), given whole (id, whole), docs (id, text) and
+    links (a, b) that are known: a written table."""
+    written: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        written.append(cut(df, what))
+        return written[-1]
+
     rows = classes.select("id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = cut(rows.join(shared, "band"), "dedup-members")
+    members = keep(rows.join(shared, "band"), "dedup-members")
+    pool = Pool(docs, members.select("id").distinct())
     odd = classes.select("id", "odd")
     # The original of a family of copies shares more bands with them than they do with each other: such are the centres.
     busy = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band").groupBy("id").agg(F.sum("n").alias("busy"))
     first = Window.partitionBy("band").orderBy(F.col("busy").desc(), "id")
-    centres = cut(members.join(busy, "id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROUNDS).select("band", F.col("id").alias("c"), "k"), "dedup-centres")
-    links = tried = found = None
-
-    def check(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the sketches allow, without those tried before, to confirmed links."""
-        nonlocal links, tried
+    centres = keep(members.join(busy, "id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= ROUNDS).select("band", F.col("id").alias("c"), "k"), "dedup-centres")
+    tried, found = None, components(known)
+    written.append(found)
+
+    def check(pairs: DataFrame) -> None:
+        """Confirms pairs (a, b) that the sketches allow, without those tried before in either direction, and joins the
+        components of the links."""
+        nonlocal found, tried
+        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        fresh = cut(pairs, "dedup-pairs")
-        got = cut(confirm(fresh, docs, size), "dedup-links")
-        tried = fresh if tried is None else tried.union(fresh)
-        links = got if links is None else links.union(got)
-        return got
+            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
+        fresh = keep(pairs.select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "dedup-pairs")
+        got = keep(confirm(fresh.select("a", "b"), pool, size), "dedup-links")
+        tried = fresh.select("lo", "hi") if tried is None else tried.union(fresh.select("lo", "hi"))
+        if got.head(1):
+            found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(got))
+            written.append(found)
 
     for k in range(1, ROUNDS + 1):
         now = named_by(members, found)
         here = centres.where(F.col("k") == k)
-        centre = here.select("band", "c") if found is None else here.join(found.withColumnRenamed("id", "c"), "c", "left").select("band", "c", F.coalesce("component", "c").alias("cl"))
-        differ = F.col("label") != (F.col("c") if found is None else F.col("cl"))
-        pairs = now.join(centre, "band").where(differ & (F.col("id") != F.col("c"))).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        centre = here.join(found.withColumnRenamed("id", "c"), "c", "left").select("band", "c", F.coalesce("component", "c").alias("cl"))
+        pairs = now.join(centre, "band").where((F.col("label") != F.col("cl")) & (F.col("id") != F.col("c"))).select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
         with_odd = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
         check(with_odd.where(likely("oa", "ob")).select("a", "b"))
-        found = components(links)
     now = named_by(members, found)
     split = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = cut(now.join(split, "band").join(odd, "id").join(whole, "id").select("band", "id", "label", "odd", "whole"), "dedup-rest")
+    rest = keep(now.join(split, "band").join(odd, "id").join(whole, "id").select("band", "id", "label", "odd", "whole"), "dedup-rest")
     mine = rest.select("band", F.col("id").alias("a"), F.col("label").alias("la"), F.col("odd").alias("oa"), F.col("whole").alias("wa"))
     other = rest.select("band", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"), F.col("whole").alias("wb"))
     # The bitmaps are compared within the join: only pairs that may be similar come out of it.
     alike = possible(F.col("oa")["n"], F.col("ob")["n"], "wa", "wb") & likely("oa", "ob")
     across = mine.join(other, (mine["band"] == other["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct()
-    late = check(across)
-    if not late.head(1):
-        return found
-    # Late links join whole components: their names are what is left to connect.
-    for end, own in (("a", "u"), ("b", "v")):
-        names = found.select(F.col("id").alias(end), F.col("component").alias(own))
-        late = late.join(names, end, "left").withColumn(own, F.coalesce(own, end))
-    over = components(late.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    ids = found.select("id").union(over.select("id")).distinct()
-    named = ids.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("id", "c")
-    return named.join(over.select(F.col("id").alias("c"), F.col("component").alias("top")), "c", "left").select("id", F.coalesce("top", "c").alias("component"))
+    check(across)
+    pool.drop()
+    discard(*(df for df in written if df is not found))
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per row of docs; shingles have ``size`` words."""
+    """doc_id, n_shingles, component_id, kept: a row per row of docs, as a written table; shingles have ``size`` words."""
     sketches = cut(sketch_documents(docs, size), "dedup-sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     same = cut(named.groupBy("key").agg(F.min("doc_id").alias("id")), "dedup-classes")
     # A class takes the bands of the row that carries its least id.
     heads = named.join(same, "key").where("doc_id = id")
-    classes = cut(heads.groupBy("id", "key").agg(F.first("bands").alias("bands"), F.first(F.struct(F.col("n_shingles").alias("n"), "odd")).alias("odd")), "dedup-heads")
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    copies = named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    classes = cut(heads.groupBy("id", "key").agg(F.first("bands").alias("bands"), F.first(F.struct(F.col("n_shingles").alias("n"), "odd")).alias("odd"), F.first("whole").alias("whole")), "dedup-heads")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
     # Copies hang on their class, one edge each; the classes' components then name them in one join.
-    found = class_components(classes.select("id", "bands", "odd"), named.select(F.col("doc_id").alias("id"), "whole").distinct(), texts, size)
+    copies = named.select("doc_id", "key").join(same, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    # Rows of one id with different sets link the classes of these.
+    several = named.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select(F.col("doc_id").alias("b"))
+    found = class_components(classes.select("id", "bands", "odd"), classes.select("id", "whole"), texts, copies.join(several, "b").select("a", "b"), size)
     roots = copies.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("id"))
     own = sketches.select("doc_id", "n_shingles").join(roots, "doc_id", "left").withColumn("id", F.coalesce("id", "doc_id"))
     out = own.join(found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = cut(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "dedup-result")
+    discard(sketches, same, classes, found)
+    return out
