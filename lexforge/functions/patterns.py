@@ -92,5 +92,23 @@ REQUIRED = ["definition_id", "source_code", "article_number", "item_number", "de
 SCOPE_LABELS = ["article", "section", "chapitre", "titre", "livre", "code", "unspecified"]
 DEFINITION_TYPES = ["explicit", "explicit_subitem", "explicit_internal", "explicit_enumerative", "explicit_qualification"]
 
+# Columns of a merged record in order; labels of accepted reviews; the usual name of a code with three names; leading articles.
+FINAL_FIELDS = ["definition_id", "source_code", "article_number", "article_id", "etat", "date_debut", "date_fin", "item_number", "term", "defined_subject", "definition", "scope_text", "scope_label", "inferred_scope", "pattern", "definition_type", "raw_body", "source_file", "annotation_source", "manual_label", "candidate_definition_id", "correction_notes", "previous_definition_id"]
+ACCEPTED_LABELS = ["valid_definition", "partial"]
+RURAL = "code rural et de la pêche maritime"
+LEADING_ARTICLES = ["L'", "l'", "Le ", "La ", "Les ", "Un ", "Une ", "Des "]
+
+# Hints of the error review.
+HINTS = {
+    "kept_invalid": "Le modèle a conservé un candidat annoté invalid.",
+    "colon": "Vérifier si le deux-points introduit une liste, un intitulé, une condition ou un segment non définitionnel.",
+    "short": "Définition très courte : risque de fragment incomplet.",
+    "absent": "Le terme candidat n'apparaît pas littéralement dans le contexte.",
+    "rejected_accepted": "Le modèle a rejeté un candidat pourtant accepté.",
+    "partial": "Le gold est partial : cas probablement ambigu pour le modèle.",
+    "canonical": "Pattern canonique accepté mais possiblement avec frontières atypiques.",
+    "long": "Définition longue : le modèle peut confondre définition et développement normatif.",
+}
+
 # Accented letters and what they become.
 ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"

@@ -8,6 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.tables import broadcast_if_few, written
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -15,11 +16,16 @@ def seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def article_keys(article_id: Column, source_file: Column, code: Column, number: Column) -> Column:
-    """Up to three keys under which an article may be known already."""
-    has = lambda c: F.coalesce(F.btrim(c), F.lit("")) != ""
-    pair = F.concat_ws("::", X.normalize_key(code), X.normalize_article_number(number))
-    return F.array_compact(F.array(F.when(has(article_id), F.concat(F.lit("article_id:"), X.normalize_key(article_id))), F.when(has(source_file), F.concat(F.lit("source_file:"), X.normalize_key(source_file))), F.when(has(code) & has(number), F.concat(F.lit("source_article:"), pair))))
+def article_keys(article_id: Column, source_file: Column, code: Column, number: Column, begin: Column | None = None, end: Column | None = None) -> Column:
+    """Up to four keys under which an article may be known already: its id, its file, its code and number, these with
+    both dates."""
+    article_id, source_file, code, number = X.normalize_key(article_id), X.normalize_key(source_file), X.normalize_source_code(code), X.normalize_article_number(number)
+    has = lambda *cs: X.all_of([c != "" for c in cs])
+    keys = [F.when(has(article_id), F.concat(F.lit("article_id::"), article_id)), F.when(has(source_file), F.concat(F.lit("source_file::"), source_file)), F.when(has(code, number), F.concat_ws("::", F.lit("source_article"), code, number))]
+    if begin is not None and end is not None:
+        begin, end = X.normalize_key(begin), X.normalize_key(end)
+        keys.append(F.when(has(code, number, begin, end), F.concat_ws("::", F.lit("source_article_dates"), code, number, begin, end)))
+    return F.array_compact(F.array(*keys))
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -39,10 +45,12 @@ def exclude_terms(rows: DataFrame, row_id: str, text: str, terms: DataFrame, cod
     stands between words; terms of under ``least`` characters are no terms.
 
     A term is an n-gram of bare words, so only n-grams of the lengths that occur among the terms are joined, by equality.
+    A list that a count shows to be short is broadcast, so that no n-gram leaves its task; a long one is shuffled.
     """
     same = X.normalize_key(F.col(code)) if code else F.lit("*")
     words = X.bare_words(F.col("term"))
     known = terms.select(same.alias("__c"), F.array_join(words, " ").alias("__t"), F.size(words).alias("__n")).where((F.length("__t") >= least) & (F.col("__c") != "")).distinct()
+    known = broadcast_if_few(written(known, "terms"))
     lengths = sorted(r[0] for r in known.select("__n").distinct().collect())
     d = rows.select(row_id, same.alias("__c"), X.bare_words(F.col(text)).alias("__w")).where(F.col("__c") != "")
     gram = lambda n: F.expr(f"CASE WHEN size(__w) >= {n} THEN array_distinct(transform(sequence(1, size(__w) - {n - 1}), i -> array_join(slice(__w, i, {n}), ' '))) ELSE array() END")
@@ -142,35 +150,72 @@ def duplicate_report(rows: DataFrame, key: Column, row_id: str, order: list) ->
     return tagged.where("__n > 1").drop("__k", "__n")
 
 
-def merge_versions(rows: DataFrame, exact: Column, coarse: Column, order: list) -> DataFrame:
+def merge_versions(rows: DataFrame, exact: Column, coarse: Column, order: list, originals: Column | None = None) -> DataFrame:
     """Adds keep and reason (first, exact_duplicate, same_article_term): a greedy pass in ``order`` keeps a row unless a
     kept one has its exact or its coarse key. Where equal exact keys have equal coarse keys, which is checked, that is the
-    first row of each coarse key; elsewhere rounds settle it."""
+    first row of each coarse key; elsewhere rounds settle it. ``originals`` adds that column of the kept row as original."""
     tagged = rows.withColumn("__c", coarse).withColumn("__e", exact)
+    if originals is not None:
+        tagged = tagged.withColumn("__o", originals)
     if tagged.groupBy("__e").agg(F.min_by(F.struct("__c"), F.struct("__c")).alias("a"), F.max_by(F.struct("__c"), F.struct("__c")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).head(1):
         return _merge_in_rounds(tagged, order)
     w = Window.partitionBy("__c").orderBy(*order)
     tagged = tagged.withColumn("__n", F.row_number().over(w)).withColumn("__f", F.first("__e").over(w))
     reason = F.when(F.col("__n") == 1, "first").when(F.col("__e").eqNullSafe(F.col("__f")), "exact_duplicate").otherwise("same_article_term")
-    return tagged.withColumn("reason", reason).withColumn("keep", F.col("__n") == 1).drop("__c", "__e", "__n", "__f")
+    if originals is not None:
+        tagged = tagged.withColumn("original", F.when(F.col("__n") > 1, F.first("__o").over(w)))
+    return tagged.withColumn("reason", reason).withColumn("keep", F.col("__n") == 1).drop("__c", "__e", "__n", "__f", "__o")
 
 
 def _merge_in_rounds(tagged: DataFrame, order: list) -> DataFrame:
     """Each round keeps the open rows that are first of the open rows of both their keys and drops what shares a key with
-    them; the first open row of all is always one, so the rounds end with the choice of the sequential pass."""
-    tagged = tagged.withColumn("__id", F.monotonically_increasing_id()).localCheckpoint()
+    them; the first open row of all is always one, so the rounds end with the choice of the sequential pass. Tables of a
+    round are written to the shared folder."""
+    tagged = written(tagged.withColumn("__id", F.monotonically_increasing_id()), "merge")
     by = lambda k: Window.partitionBy(k).orderBy(*order, "__id")
+    over = lambda c, k: F.max(c).over(Window.partitionBy(k))
     kept, left = tagged.select("__id").limit(0), tagged
     while left.head(1):
         ranked = left.withColumn("__first", (F.row_number().over(by("__e")) == 1) & (F.row_number().over(by("__c")) == 1))
-        over = lambda k: F.max("__first").over(Window.partitionBy(k))
-        ranked = ranked.withColumn("__gone", over("__e") | over("__c")).localCheckpoint()
+        ranked = written(ranked.withColumn("__gone", over("__first", "__e") | over("__first", "__c")), "merge-round")
         kept = kept.unionByName(ranked.where("__first").select("__id"))
-        left = ranked.where(~F.col("__gone")).select(*tagged.columns).localCheckpoint()
+        left = ranked.where(~F.col("__gone")).select(*tagged.columns)
     out = tagged.join(kept.withColumn("keep", F.lit(True)), "__id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
     known = F.max("keep").over(by("__e").rowsBetween(Window.unboundedPreceding, -1))
     reason = F.when(F.col("keep"), "first").when(known, "exact_duplicate").otherwise("same_article_term")
-    return out.withColumn("reason", reason).select(*(c for c in tagged.columns if c[:2] != "__"), "reason", "keep")
+    out = out.withColumn("reason", reason)
+    if "__o" in out.columns:
+        of = lambda k: over(F.when(F.col("keep"), F.col("__o")), k)
+        out = out.withColumn("__x", of("__e")).withColumn("__y", of("__c")).withColumn("original", F.when(F.col("reason") == "exact_duplicate", F.col("__x")).when(~F.col("keep"), F.col("__y")))
+    return out.drop("__c", "__e", "__id", "__o", "__x", "__y")
+
+
+def missing_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds missing: the required fields that the JSON object of a line has no key for (a null value is a value)."""
+    keys = F.coalesce(F.json_object_keys(F.col(raw)), F.array().cast("array<string>"))
+    return lines.withColumn("missing", F.array_except(F.array(*map(F.lit, P.REQUIRED)), keys))
+
+
+def validate_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """As validate(), of JSON lines (row_idx, raw): a line that lacks required fields breaks that rule alone, and its id
+    is not taken as seen."""
+    schema = ", ".join(f"{c} string" for c in P.REQUIRED)
+    rows = missing_fields(lines, raw).withColumn("r", F.from_json(raw, schema))
+    lacking = rows.where(F.size("missing") > 0)
+    named = F.concat(F.lit("missing fields: "), F.array_join("missing", ", "))
+    broken = lacking.select(F.coalesce("r.definition_id", F.concat(F.lit("line_"), F.col("row_idx").cast("string"))).alias("definition_id"), F.lit("error").alias("severity"), named.alias("message"))
+    return broken.unionByName(validate(rows.where(F.size("missing") == 0).select("row_idx", "r.*")))
+
+
+def gate(findings: DataFrame) -> DataFrame:
+    """One row: errors, warnings and passed; ``require_passed`` turns it into a failure."""
+    n = lambda kind: F.count_if(F.col("severity") == kind)
+    return findings.agg(n("error").alias("errors"), n("warning").alias("warnings")).withColumn("passed", F.col("errors") == 0)
+
+
+def require_passed(findings: DataFrame) -> DataFrame:
+    """The gate as a job: it fails if there is any error."""
+    return gate(findings).withColumn("passed", F.when(F.col("passed"), True).otherwise(F.raise_error(F.concat(F.lit("validation errors: "), F.col("errors").cast("string"))).cast("boolean")))
 
 
 def validate(rows: DataFrame) -> DataFrame:
@@ -183,7 +228,7 @@ def validate(rows: DataFrame) -> DataFrame:
     tests = [error(F.col("__again"), "duplicate definition_id")]
     tests += [error(blank(c), f"empty {c}") for c in ("definition_id", "source_code", "article_number", "term", "definition", "pattern", "definition_type", "raw_body")]
     tests += [error(~F.coalesce(F.col("scope_label").isin(*P.SCOPE_LABELS), F.lit(False)), "bad scope_label"), error(F.col("inferred_scope").isNotNull() & ~F.col("inferred_scope").isin(*P.SCOPE_LABELS), "bad inferred_scope"), error(~F.coalesce(F.col("definition_type").isin(*P.DEFINITION_TYPES), F.lit(False)), "bad definition_type")]
-    tests += [warn(F.col("scope_text").isNull() & (F.col("scope_label") != "unspecified"), "scope_label without scope_text"), error((F.col("definition_type") == "explicit_qualification") & blank("defined_subject"), "qualification without defined_subject"), warn((F.col("definition_type") != "explicit_qualification") & ~blank("defined_subject"), "unexpected defined_subject"), warn(~body.contains(F.col("term")), "term not in raw_body"), warn(~body.contains(F.left(F.btrim(F.col("definition")), F.lit(40))), "definition not in raw_body")]
+    tests += [warn(F.col("scope_text").isNull() & (F.col("scope_label") != "unspecified"), "scope_label without scope_text"), error((F.col("definition_type") == "explicit_qualification") & blank("defined_subject"), "qualification without defined_subject"), warn((F.col("definition_type") != "explicit_qualification") & ~blank("defined_subject"), "unexpected defined_subject"), warn(~body.contains(F.btrim(F.col("term"), F.lit(" \t\r\n"))), "term not in raw_body"), warn(~body.contains(F.left(F.btrim(F.col("definition")), F.lit(40))), "definition not in raw_body")]
     return rows.withColumn("__again", again).select("definition_id", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("definition_id", "x.*")
 
 
@@ -209,9 +254,9 @@ def word_tfidf(docs: DataFrame, key: str, text: str, least: int = 2, most: float
     words = F.regexp_extract_all(F.lower(X.strip_accents(F.col(text))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
     d = docs.select(key, words.alias("w"))
     grams = F.concat("w", F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    tf = d.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = written(d.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")
     total = docs.agg(F.count("*").alias("total")).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most * total))
     raw = tf.join(df, "term").withColumn("x", (1 + F.log("tf")) * (F.log((1 + total) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("x") / norm).alias("weight"))

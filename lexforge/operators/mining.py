@@ -10,20 +10,32 @@ from ..functions import text as X
 
 
 def matched_labels(text: Column, inventory=P.INVENTORY) -> Column:
-    return F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(P.FLAGS + regex)), label) for label, _, regex in inventory)))
+    """The labels whose pattern hits. One alternation of all patterns goes first: a text that it misses is read once."""
+    single = F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(P.FLAGS + regex)), label) for label, _, regex in inventory)))
+    some = "|".join(f"(?:{regex})" for _, _, regex in inventory)
+    return F.when(F.rlike(text, F.lit(P.FLAGS + some)), single) if len(inventory) > 8 else single
+
+
+def article_text(articles: DataFrame, text: str = "text", other: str = "raw_text") -> Column:
+    """The text of an article, or its raw text where the first is missing or empty."""
+    return F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(other)) if other in articles.columns else F.col(text)
 
 
 def mine(articles: DataFrame, text: str = "text", inventory=P.INVENTORY) -> DataFrame:
     """Adds matched_definition_patterns, matched_pattern_categories, candidate_score, noise_risk, text_preview to the
-    rows with a text that any pattern hits."""
-    labels = F.col("matched_definition_patterns")
-    by = {c: [label for label, own, _ in inventory if own == c] for c in P.CATEGORY_SCORE}
+    rows with a text that any pattern hits. A generator makes the labels, so that the optimiser keeps one copy of the
+    patterns: it would repeat them in a filter on the labels."""
+    labels, own = F.col("matched_definition_patterns"), article_text(articles, text)
+    by = {c: [label for label, own_c, _ in inventory if own_c == c] for c in P.CATEGORY_SCORE}
     hits = {c: F.size(F.array_intersect(labels, F.array(*map(F.lit, ls)))) if ls else F.lit(0) for c, ls in by.items()}
     score = sum((P.CATEGORY_SCORE[c] * n for c, n in hits.items()), F.lit(0))
-    out = articles.where(F.rlike(text, F.lit(r"\S"))).withColumn("matched_definition_patterns", matched_labels(F.col(text), inventory)).where(F.size(labels) > 0)
+    found = matched_labels(own, inventory)
+    # An empty list gives no row: explode drops what no pattern hits.
+    one = F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x))
+    out = articles.withColumn("matched_definition_patterns", F.explode(F.array_compact(one)))
     categories = F.array_compact(F.array(*(F.when(hits[c] > 0, c) for c in sorted(hits))))
     risk = F.when(hits["strong"] > 0, "low").when(hits["medium"] > 0, "medium").otherwise("high")
-    return out.withColumns({"matched_pattern_categories": categories, "candidate_score": score.cast("int"), "noise_risk": risk, "text_preview": X.preview(F.col(text))})
+    return out.withColumns({"matched_pattern_categories": categories, "candidate_score": score.cast("int"), "noise_risk": risk, "text_preview": X.preview(own)})
 
 
 def priority_score(labels: Column, score: Column, risk: Column, stratum: Column, priority=P.PRIORITY) -> Column:
@@ -49,7 +61,8 @@ def is_bad_colon_context(term: Column, body: Column) -> Column:
 
 def extract_drafts(articles: DataFrame, text: str = "text", key: str = "id", drafts=P.DRAFTS) -> DataFrame:
     """One row per kept span: article columns, pattern, item_number, defined_subject, term_candidate,
-    definition_candidate, raw_body, definition_type, extraction_confidence, scope. Of the kept spans of equal article key,
+    definition_candidate, raw_body, definition_type, extraction_confidence, scope and place (1, 2, ... within the article
+    and the kind of pattern). Of the kept spans of equal article key,
     pattern, term and definition (nulls equal) the first in order of regex and place stays."""
     body = X.normalize_space(F.col(text))
 
@@ -71,8 +84,9 @@ def extract_drafts(articles: DataFrame, text: str = "text", key: str = "id", dra
     cut = F.when((F.col("pattern") == "on entend par") & (F.length("raw_body") > 1100), F.concat(F.rtrim(F.left("raw_body", F.lit(1100))), F.lit("..."))).otherwise(F.col("raw_body"))
     kind = F.when(qualified, "explicit_qualification").otherwise("explicit")
     sure = F.when(qualified | (F.col("pattern") == "défini comme"), "medium").otherwise("high")
+    place = F.row_number().over(Window.partitionBy(key, F.coalesce(*(F.when(F.col("pattern") == p, p) for p in P.MOST_TERM_WORDS), F.when(qualified, "qualification"), F.col("pattern"))).orderBy("k", "i"))
     first = F.row_number().over(Window.partitionBy(key, "pattern", "term_candidate", "definition_candidate").orderBy("k", "i", "raw_body"))
-    d = d.where(good).withColumn("__n", first).where("__n = 1").drop("__n")
+    d = d.where(good).withColumn("place", place).withColumn("__n", first).where("__n = 1").drop("__n")
     return d.withColumns({"raw_body": cut, "definition_type": kind, "extraction_confidence": sure}).withColumn("scope", infer_scope(F.col("raw_body"))).select("*", "scope.*").drop("scope")
 
 

@@ -89,14 +89,14 @@ def exact_dedup(spark, sf_dir):
 
 def versioned_merge(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    d = d.select("doc_id", F.when(F.col("quality").isNotNull(), 1).otherwise(2).alias("version"), F.md5(X.normalize_term(F.col("text")).cast("binary")).alias("exact"), F.md5(X.normalize_term(F.left("text", F.lit(40))).cast("binary")).alias("coarse"))
+    d = d.select("doc_id", F.when(F.col("quality").isNotNull(), 1).otherwise(2).alias("version"), F.md5(X.normalize_term(F.col("text")).cast("binary")).alias("exact"), F.concat_ws("::", X.normalize_key(F.col("source")), X.normalize_key(F.col("lang")), X.normalize_term(F.split_part("text", F.lit(" "), F.lit(1)))).alias("coarse"))
     return C.merge_versions(d, F.col("exact"), F.col("coarse"), [F.col("version"), F.col("doc_id")]).select("doc_id", "version", "keep", "reason")
 
 
 def exclude_existing_articles(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("source").alias("source"))
-    known = table(spark, sf_dir, "labels").select(F.concat(F.lit("article_id:"), F.col("doc_id").cast("string")).alias("key"))
-    kept, _ = C.exclude_known(d, F.array(F.concat(F.lit("article_id:"), F.col("doc_id").cast("string"))), known, "doc_id")
+    known = table(spark, sf_dir, "labels").select(F.concat(F.lit("article_id::"), F.col("doc_id").cast("string")).alias("key"))
+    kept, _ = C.exclude_known(d, F.array(F.concat(F.lit("article_id::"), F.col("doc_id").cast("string"))), known, "doc_id")
     return kept
 
 
@@ -175,10 +175,14 @@ def extraction_metrics(spark, sf_dir):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(X.token_f1(F.col("p"), F.col("g"))), 6).alias("token_f1"), F.round(F.avg(F.col("em").cast("double")), 6).alias("exact_match"))
 
 
-def schema_validation(spark, sf_dir):
+def schema_rows(spark, sf_dir):
+    """Documents as records whose rules break here and there: the term is a word of the text, the definition all of it."""
     d = table(spark, sf_dir, "documents")
-    rows = d.select(F.concat(F.lit("D"), F.expr("doc_id div 2").cast("string")).alias("definition_id"), F.col("doc_id").alias("row_idx"), F.col("source").alias("source_code"), F.col("lang").alias("article_number"), F.left("text", F.lit(12)).alias("term"), F.when(F.col("lang") != "es", F.substring("text", 20, 60)).alias("definition"), F.lit(None).cast("string").alias("scope_text"), F.when(F.col("lang") == "fr", "article").when(F.col("lang") == "de", "satz").otherwise("unspecified").alias("scope_label"), F.lit("article").alias("inferred_scope"), F.lit("x").alias("pattern"), F.when(F.col("doc_id") % 7 == 0, "explicit_qualification").otherwise("explicit").alias("definition_type"), F.lit(None).cast("string").alias("defined_subject"), F.left("text", F.lit(50)).alias("raw_body"))
-    return C.validate(rows).groupBy("severity", "message").agg(F.count("*").alias("n"))
+    return d.select(F.concat(F.lit("D"), F.expr("doc_id div 2").cast("string")).alias("definition_id"), F.col("doc_id").alias("row_idx"), F.col("source").alias("source_code"), F.col("lang").alias("article_number"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), F.col("source"))).otherwise(F.split_part("text", F.lit(" "), F.lit(1))).alias("term"), F.when(F.col("lang") != "es", F.col("text")).alias("definition"), F.lit(None).cast("string").alias("scope_text"), F.when(F.col("lang") == "fr", "article").when(F.col("lang") == "de", "satz").otherwise("unspecified").alias("scope_label"), F.lit("article").alias("inferred_scope"), F.lit("x").alias("pattern"), F.when(F.col("doc_id") % 7 == 0, "explicit_qualification").otherwise("explicit").alias("definition_type"), F.lit(None).cast("string").alias("defined_subject"), F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("raw_body"))
+
+
+def schema_validation(spark, sf_dir):
+    return C.validate(schema_rows(spark, sf_dir)).groupBy("severity", "message").agg(F.count("*").alias("n"))
 
 
 def task_examples(spark, sf_dir):
@@ -260,7 +264,7 @@ def noise_cleaning(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (candidate_mining, pattern_inventory_fixture, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, exclude_terms_of_source, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, draft_extraction, rule_extraction, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
+    for f in (candidate_mining, label_distribution, top_sources, status_filter, text_normalisation, safe_ids, article_keys_explode, exact_dedup, versioned_merge, exclude_existing_articles, exclude_existing_terms, exclude_terms_of_source, weak_negatives, balanced_priority_sample, seeded_sample, review_routing, review_precision, group_split, split_overlap, extraction_metrics, schema_validation, task_examples, binary_metrics, error_analysis, metadata_profile, tfidf_word, tfidf_char, fold_summary, duplicate_originals, correction_overlay, page_text, noise_cleaning)
 }
 #: Greedy dealing and fitted models have no SQL form; tests hold them against brute force or expected accuracy.
 WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (group_folds, model_metrics, draft_extraction_documents)}
@@ -293,19 +297,27 @@ _FIRST40 = "substr(text, 1, 40)"
 _PARTS = "\n".join(f"case when {clean(c)} <> '' then '{n}' || {clean(c)} end," for n, c in (("TERM: ", "substr(text, 1, 20)"), ("DEFINITION: ", "substr(text, 21, 80)"), ("CONTEXT: ", "text"))).rstrip(",")
 _BARE = lambda: "[x for x in string_split(trim(regexp_replace(" + plain("lower(text)") + ", '[^a-z0-9]+', ' ', 'g')), ' ') if x <> '']"
 
+_FINDINGS = """with r as (select 'D' || (doc_id // 2) as definition_id, doc_id as row_idx, source as source_code, lang as article_number, case when doc_id % 5 = 0 then ' ' || source else split_part(text, ' ', 1) end as term, case when lang <> 'es' then text end as definition, case lang when 'fr' then 'article' when 'de' then 'satz' else 'unspecified' end as scope_label, doc_id % 7 = 0 as q, case when doc_id % 3 = 0 then upper(text) else text end as raw_body from documents),
+      w as (select *, row_number() over (partition by definition_id order by row_idx) > 1 as again from r),
+      e as (select unnest([x for x in [case when again then 'error:duplicate definition_id' end, case when coalesce(trim(source_code), '') = '' then 'error:empty source_code' end, case when coalesce(trim(article_number), '') = '' then 'error:empty article_number' end, case when coalesce(trim(term), '') = '' then 'error:empty term' end, case when coalesce(trim(definition), '') = '' then 'error:empty definition' end, case when coalesce(trim(raw_body), '') = '' then 'error:empty raw_body' end,
+        case when scope_label = 'satz' then 'error:bad scope_label' end, case when scope_label <> 'unspecified' then 'warning:scope_label without scope_text' end, case when q then 'error:qualification without defined_subject' end, case when not contains(raw_body, trim(term, ' ' || chr(9) || chr(10) || chr(13))) then 'warning:term not in raw_body' end, case when not contains(raw_body, left(trim(definition), 40)) then 'warning:definition not in raw_body' end] if x is not null]) as x from w)
+      select split_part(x, ':', 1) as severity, split_part(x, ':', 2) as message from e"""
+
 ORACLE_SQL: dict[str, str] = {
     "candidate_mining": f"select doc_id, array_to_string(labels, ',') as labels, array_to_string([x for x in [case when {_HIT['der']} > 0 then 'high_noise' end, case when {_HIT['la']} > 0 then 'medium' end, case when {_HIT['the']} + {_HIT['que']} > 0 then 'strong' end] if x is not null], ',') as categories, candidate_score, noise_risk, text_preview from {MINED} where len(labels) > 0",
-    "pattern_inventory_fixture": """select * from (values (0, 'on entend par|pour l''application du présent|guillemets_définition', 9, 'low'), (1, 'est réputé', 2, 'medium'), (2, 's''entend de', 3, 'low'), (3, 'terme_colon_definition', 3, 'low'), (4, 'sont considérés comme', 3, 'low'), (5, 'désigne|constitue', 2, 'high'), (6, 'ci-après dénommé', 2, 'medium'), (7, 'au sens de', 2, 'medium'), (8, 'défini comme|est défini', 6, 'low'), (9, 'sont qualifiés de', 3, 'low')) t(id, labels, candidate_score, noise_risk)""",
     "label_distribution": f"select source, label, count(*) as n from (select source, unnest(labels) as label from {MINED}) group by all",
     "top_sources": f"select coalesce(source, 'unknown') as value, count(*) as n, min(doc_id) as first_seen from {MINED} where len(labels) > 0 group by 1 order by n desc, first_seen limit 20",
     "status_filter": "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F' and o_orderdate >= timestamp '1995-01-01'",
     "text_normalisation": f"select doc_id, md5({key('text')}) as key_md5, md5({term('text')}) as term_md5, md5({space('text')}) as space_md5 from documents",
     "safe_ids": "select p_partkey, 'GOLD_' || left(trim(regexp_replace(upper(p_brand), '[^A-Z0-9]+', '_', 'g'), '_'), 35) || '_' || left(trim(regexp_replace(upper(p_type), '[^A-Z0-9]+', '_', 'g'), '_'), 20) || '_' || lpad(p_partkey::varchar, 8, '0') as safe_id from part",
-    "article_keys_explode": f"select key, count(*) as n from (select unnest(['article_id:' || doc_id, 'source_file:' || {key('source')}, 'source_article:' || {key('source')} || '::' || {key('lang')}]) as key from documents) group by key",
+    "article_keys_explode": f"select key, count(*) as n from (select unnest(['article_id::' || doc_id, 'source_file::' || {key('source')}, 'source_article::' || {key('source')} || '::' || {key('lang')}]) as key from documents) group by key",
     "exact_dedup": f"select min(doc_id) as doc_id, md5({term('text')}) as text_key from documents group by 2",
-    "versioned_merge": f"""with d as (select doc_id, case when quality is not null then 1 else 2 end as version, md5({term('text')}) as e, md5({term(_FIRST40)}) as c from documents left join labels using (doc_id)),
-      w as (select *, row_number() over (partition by c order by version, doc_id) as n, first_value(e) over (partition by c order by version, doc_id) as f from d)
-      select doc_id, version, n = 1 as keep, case when n = 1 then 'first' when e = f then 'exact_duplicate' else 'same_article_term' end as reason from w""",
+    "versioned_merge": f"""with recursive d as (select doc_id, case when quality is not null then 1 else 2 end as version, md5({term('text')}) as e, md5(concat_ws('::', {key('source')}, {key('lang')}, {term("split_part(text, ' ', 1)")})) as c from documents left join labels using (doc_id)),
+      o as (select *, row_number() over (order by version, doc_id) as n from d),
+      g(n, es, cs, why) as (select 0::bigint, []::varchar[], []::varchar[], null::varchar
+        union all select o.n, case when list_contains(es, e) or list_contains(cs, c) then es else list_append(es, e) end, case when list_contains(es, e) or list_contains(cs, c) then cs else list_append(cs, c) end,
+          case when list_contains(es, e) then 'exact_duplicate' when list_contains(cs, c) then 'same_article_term' else 'first' end from g join o on o.n = g.n + 1)
+      select doc_id, version, why = 'first' as keep, why as reason from o join g using (n)""",
     "exclude_existing_articles": "select doc_id, lower(source) as source from documents where doc_id not in (select doc_id from labels)",
     "exclude_existing_terms": f"""with t as (select distinct array_to_string({_BARE()}[1:2], ' ') as term from benchmark), d as (select doc_id, ' ' || array_to_string({_BARE()}, ' ') || ' ' as flat from documents)
       select doc_id, string_agg(term, '|' order by term) as terms from d join t on length(term) > 3 and contains(flat, ' ' || term || ' ') group by doc_id""",
@@ -323,11 +335,7 @@ ORACLE_SQL: dict[str, str] = {
     "extraction_metrics": f"""with t as (select lang, {_TOKENS("string_split(text, chr(10))[1]")} as p, {_TOKENS("substr(text, 1, 60)")} as g, {match("string_split(text, chr(10))[1]")} = {match("substr(text, 1, 60)")} as em from documents),
       s as (select *, coalesce(list_sum([least(len([y for y in p if y = x]), len([y for y in g if y = x])) for x in list_distinct(p)]), 0) as same from t)
       select lang, count(*) as n, round(avg(case when len(p) = 0 and len(g) = 0 then 1.0::double when same = 0 then 0.0::double else 2.0::double * same / (len(p) + len(g)) end), 6) as token_f1, round(avg(em::int::double), 6) as exact_match from s group by lang""",
-    "schema_validation": """with r as (select 'D' || (doc_id // 2) as definition_id, doc_id as row_idx, source as source_code, lang as article_number, substr(text, 1, 12) as term, case when lang <> 'es' then substr(text, 20, 60) end as definition, case lang when 'fr' then 'article' when 'de' then 'satz' else 'unspecified' end as scope_label, doc_id % 7 = 0 as q, substr(text, 1, 50) as raw_body from documents),
-      w as (select *, row_number() over (partition by definition_id order by row_idx) > 1 as again from r),
-      e as (select unnest([x for x in [case when again then 'error:duplicate definition_id' end, case when coalesce(trim(source_code), '') = '' then 'error:empty source_code' end, case when coalesce(trim(article_number), '') = '' then 'error:empty article_number' end, case when coalesce(trim(term), '') = '' then 'error:empty term' end, case when coalesce(trim(definition), '') = '' then 'error:empty definition' end, case when coalesce(trim(raw_body), '') = '' then 'error:empty raw_body' end,
-        case when scope_label = 'satz' then 'error:bad scope_label' end, case when scope_label <> 'unspecified' then 'warning:scope_label without scope_text' end, case when q then 'error:qualification without defined_subject' end, case when not contains(raw_body, term) then 'warning:term not in raw_body' end, case when not contains(raw_body, left(trim(definition), 40)) then 'warning:definition not in raw_body' end] if x is not null]) as x from w)
-      select split_part(x, ':', 1) as severity, split_part(x, ':', 2) as message, count(*) as n from e group by all""",
+    "schema_validation": f"select severity, message, count(*) as n from ({_FINDINGS}) group by all",
     "task_examples": f"select doc_id, md5(concat_ws(chr(10), {_PARTS})) as input_md5, quality as binary_label from documents join labels using (doc_id)",
     "binary_metrics": f"""with m as (select count(*) filter (gold = 0 and pred = 0) as tn, count(*) filter (gold = 0 and pred = 1) as fp, count(*) filter (gold = 1 and pred = 0) as fn, count(*) filter (gold = 1 and pred = 1) as tp from {_PRED}),
       r as (select *, (tn + fp + fn + tp)::double as n, 2.0::double * tp / (2 * tp + fp + fn) as f1, 2.0::double * tn / (2 * tn + fp + fn) as f0 from m)
@@ -353,7 +361,4 @@ ORACLE_SQL: dict[str, str] = {
     "correction_overlay": "select doc_id::varchar as definition_id, case when quality = 1 then 'better' else lang end as term, source as definition from documents left join labels using (doc_id) where coalesce(toxic, 0) <> 1",
     "page_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages",
     "noise_cleaning": r"select case when regexp_matches(text, '^[a-z]') then 'bad_text_start' when len(regexp_extract_all(text, '[#$%&*]{3}')) >= 3 then 'high_noise_text_hits' when len(regexp_extract_all(text, '\|')) >= 5 then 'long_admin_list' end as reason, count(*) as n from documents group by 1",
-    "draft_extraction": """select * from (values (0, 'on entend par', null::varchar, null::varchar, 'service numérique', 'un service fourni à distance par voie électronique', 'explicit', 'high', 'code'), (2, 's''entend de', null, null, 'probité', 'l''exigence générale d''honnêteté', 'explicit', 'high', 'unspecified'), (3, 'terme_colon_definition', '1°', null, 'Déchet', 'toute substance dont le détenteur se défait', 'explicit', 'high', 'unspecified'), (4, 'sont considérés comme', null, 'les biens', 'des déchets', 'sont abandonnés', 'explicit_qualification', 'medium', 'unspecified'), (8, 'défini comme', null, null, 'Le mot X est', 'un Y de grande taille', 'explicit', 'medium', 'unspecified'))
-      t(id, pattern, item_number, defined_subject, term_candidate, definition_candidate, definition_type, extraction_confidence, scope_label)""",
-    "rule_extraction": """select * from (values (0, 'colon_definition', 'Pour l''application du présent code, on entend par « service numérique »', 'un service fourni à distance par voie électronique.'), (1, null, null, null), (2, 'sentend_de', 'La probité, qui', 'l''exigence générale d''honnêteté, est requise.'), (3, 'colon_definition', 'Déchet', 'toute substance dont le détenteur se défait ; État : le pouvoir'), (4, null, null, null), (5, null, null, null), (6, null, null, null), (7, null, null, null), (8, 'defini_comme', 'Le mot X', 'un Y de grande taille'), (9, null, null, null)) t(id, rule, term, definition)""",
 }
