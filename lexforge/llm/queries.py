@@ -20,7 +20,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """first_slot and second_slot: -1 where a pass takes nothing of a document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).fillna(-1, ["first_slot", "second_slot"])
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ c as (select g.*, least((select count(*) from a where a.sid = g.sid), {mixing.MO
 p as (select doc_id, size, sid, source_size, target, block, blocks, got, (sum(size) over (partition by d.source order by h, doc_id nulls first, size rows unbounded preceding) - size)::bigint as beg
   from d join c on d.source is not distinct from c.source)
 select doc_id, size, source_size, target, (greatest(0, least(beg + size, block * got) - beg) + greatest(0, least(beg + size, block * greatest(got - blocks, 0)) - beg))::bigint as taken,
-  x.slot as first_slot, y.slot as second_slot
+  coalesce(x.slot, -1) as first_slot, coalesce(y.slot, -1) as second_slot
   from p left join a x on size > 0 and x.sid = p.sid and x.k = beg // block and x.k < least(got, blocks)
   left join a y on size > 0 and y.sid = p.sid and y.k = blocks + beg // block and y.k < got"""
 
