@@ -24,22 +24,6 @@ def _word(w: str) -> str:
 
 #: A neutral inventory for invented prose; boundaries are spelt out, since engines differ in what \b means.
 NEUTRAL = [("the", "strong", _word("the")), ("la", "medium", _word("la")), ("der", "high_noise", _word("der")), ("que", "strong", _word("que"))]
-FRENCH = [
-    (0, "Pour l’application du présent code, on entend par « service numérique » : un service fourni à distance par voie électronique."),
-    (1, "Est réputé acquis le droit."),
-    (2, "La probité, qui s'entend de l'exigence générale d'honnêteté, est requise."),
-    (3, "1° Déchet : toute substance dont le détenteur se défait ;\nÉtat : le pouvoir"),
-    (4, "les biens sont considérés comme des déchets lorsqu'ils sont abandonnés"),
-    (5, "Le président désigne les membres; cela constitue un tout"),
-    (6, "ci-après dénommée « X »"),
-    (7, "au sens de l’article L. 1"),
-    (8, "Le mot X est défini comme un Y de grande taille"),
-    (9, "SONT QUALIFIÉES DE services"),
-]
-
-
-def french(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FRENCH, "id int, text string")
 
 
 def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +34,6 @@ def candidate_mining(spark, sf_dir):
     return _mined(spark, sf_dir).select("doc_id", F.array_join("matched_definition_patterns", ",").alias("labels"), F.array_join("matched_pattern_categories", ",").alias("categories"), "candidate_score", "noise_risk", "text_preview")
 
 
-def pattern_inventory_fixture(spark, sf_dir):
-    return M.mine(french(spark)).select("id", F.array_join("matched_definition_patterns", "|").alias("labels"), "candidate_score", "noise_risk")
-
-
 def label_distribution(spark, sf_dir):
     return _mined(spark, sf_dir).select("source", F.explode("matched_definition_patterns").alias("label")).groupBy("source", "label").agg(F.count("*").alias("n"))
 
@@ -156,18 +136,10 @@ def split_overlap(spark, sf_dir):
     return s.groupBy("conv_id").agg(F.countDistinct("split").alias("splits")).agg(F.count("*").alias("keys"), F.count_if(F.col("splits") > 1).alias("overlapping"))
 
 
-def draft_extraction(spark, sf_dir):
-    return M.extract_drafts(french(spark)).select("id", "pattern", "item_number", "defined_subject", "term_candidate", "definition_candidate", "definition_type", "extraction_confidence", "scope_label")
-
-
 def draft_extraction_documents(spark, sf_dir):
     return M.extract_drafts(table(spark, sf_dir, "documents"), key="doc_id", drafts=P.NEUTRAL_DRAFTS).select("doc_id", "pattern", "term_candidate", "definition_candidate", "definition_type")
 
 
-def rule_extraction(spark, sf_dir):
-    return french(spark).withColumn("r", M.rule_extract(F.col("text"))).select("id", "r.rule", "r.term", "r.definition")
-
-
 def extraction_metrics(spark, sf_dir):
     """Token F1 and exact match of each document's first line against its normalised first 60 characters."""
     line, head = F.split("text", "\n")[0], F.left("text", F.lit(60))

@@ -35,7 +35,7 @@ def _md5(name: str):
 def merge_gold(spark, sf_dir):
     r = _reviewed(spark, sf_dir)
     out = R.merge_sources([("v0.4_gold", r.where("quality = 1")), ("v0.5_review", r.where("quality is null or quality <> 1"))])
-    return out.select("row_idx", "annotation_source", "route", "reason", F.col("original.idx").alias("original_idx"), "definition_id", "previous_definition_id", "term", _md5("definition"), "scope_label", "inferred_scope", "definition_type")
+    return out.select("row_idx", "annotation_source", "route", "reason", F.coalesce("original.idx", F.lit(-1)).alias("original_idx"), "definition_id", "previous_definition_id", "term", _md5("definition"), "scope_label", "inferred_scope", "definition_type")
 
 
 def gold_records(spark, sf_dir):
@@ -215,7 +215,7 @@ _MERGE = f"""with recursive r as (select *, case when quality = 1 then 'v0.4_gol
       case when list_contains(es, e) then ids[list_position(es, e)] when list_contains(cs, c) then ids[list_position(cs, c)] end from g join x on x.n = g.n + 1),
   m as (select s.*, case when s.skip is not null then 'skipped' when why is null then 'merged' else 'duplicate' end as route, coalesce(s.skip, why) as reason, orig from s left join x using (row_idx) left join g on g.n = x.n),
   o as (select *, row_number() over (partition by route order by src, row_idx) as n from m)
-  select row_idx, src as annotation_source, route, reason, orig as original_idx, case when route = 'merged' then {new_id('NORMDEF_FR_V0_5', 5)} else {cleaned('definition_id')} end as definition_id, {given('definition_id')} as previous_definition_id,
+  select row_idx, src as annotation_source, route, reason, coalesce(orig, -1) as original_idx, case when route = 'merged' then {new_id('NORMDEF_FR_V0_5', 5)} else {cleaned('definition_id')} end as definition_id, {given('definition_id')} as previous_definition_id,
     t as term, md5(d) as definition_md5, coalesce({given('scope_label', 'gold_scope_label')}, 'unspecified') as scope_label, coalesce({given('inferred_scope')}, 'article') as inferred_scope, coalesce({given('definition_type')}, 'explicit') as definition_type from o"""
 
 _SHORT_TERM = lambda t: "case " + " ".join(f"when starts_with({t}, {G._quoted(p)}) and length({t}) > {len(p) + 2} then trim(substr({t}, {len(p) + 1}))" for p in P.LEADING_ARTICLES) + f" else {t} end"
