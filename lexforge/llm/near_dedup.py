@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, delete, discard, shared_dir, small_batches
+from .common import cut, delete, discard, shared_dir, small, small_batches
 
 K, SIMILARITY = 4, 80
 BANDS, ROWS = 30, 5
@@ -41,6 +41,8 @@ WHOLE_WORDS = 16
 WORD_CACHE = 500_000
 #: Pairs of one document that a task of the last join takes, about.
 LOT = 2000
+#: Ids (8 bytes each) that a broadcast may hold.
+MOST_IDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,8 +165,12 @@ class Pool:
         self.spark, self.name = spark, f"lexforge_pool_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(spark)}/lexforge/{self.name}"
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = docs.repartition(n, "id").join(ids.repartition(n, "id"), "id", "left_semi")
+        ids = cut(ids, "dedup-wanted")
+        few = small(ids, MOST_IDS)
+        # Few ids are broadcast, so that only their texts are shuffled; many meet all texts in the shuffle that the buckets need.
+        rows = docs.join(few, "id", "left_semi").repartition(n, "id") if few is not ids else docs.repartition(n, "id").join(ids.repartition(n, "id"), "id", "left_semi")
         rows.write.bucketBy(n, "id").sortBy("id").option("path", self.path).saveAsTable(self.name)
+        discard(ids)
 
     def texts(self) -> DataFrame:
         return self.spark.table(self.name)
