@@ -53,6 +53,12 @@ def discard(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: plans, broadcasts and compiled classes of queries that have ended. A loop of
+    many queries else fills the whole heap with them, and only a full collection gives memory back to the system."""
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, a table of short rows made by cut(), marked for broadcast if it has at most ``most`` rows; else as it is,
     so that joins shuffle it."""

@@ -30,7 +30,7 @@ from math import erf, exp, pi, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, discard, small, words_of
+from .common import WORD, cut, discard, release, small, words_of
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -165,7 +165,8 @@ def _filtered_distances(rows: DataFrame, model: DataFrame, on: tuple[str, ...])
 
 class Groups:
     """Lookup tables with a few rows a group: broadcast to every join if there are at most MOST_GROUPS groups, which is
-    counted; a join by (g, s) would else bring a hot group into one task. Keeps what it wrote, to delete it at the end."""
+    counted; a join by (g, s) would else bring a hot group into one task. Keeps what it wrote, to delete it at the end.
+    After each table the driver collects its garbage: the plans of a step are large, and the number of steps is not known."""
 
     MOST_GROUPS = 20_000
 
@@ -175,6 +176,7 @@ class Groups:
 
     def cut(self, df: DataFrame, what: str) -> DataFrame:
         self.written.append(cut(df, what))
+        release(df.sparkSession)
         return self.written[-1]
 
     def lookup(self, df: DataFrame, what: str) -> DataFrame:

@@ -302,6 +302,14 @@ def test_language(spark, docs, edge, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_tables_of_the_estimate_release_the_driver(spark):
+    """Each written table of the estimate ends with a full collection on the driver."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    groups, before = quality_rules.Groups(1), full()
+    assert groups.cut(spark.range(3).toDF("x"), "test-release").count() == 3 and full() > before
+
+
 def test_gradient():
     net = language_id.Network(["a", "b"])
     rng = np.random.default_rng(0)
