@@ -29,7 +29,7 @@ MOST_IDS = 1_000_000
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no identifiable language; names the language of rows that had none."""
-    found = language_id.identify(docs, carry=True)
+    found = language_id.identify_rows(docs, [F.col(f"`{c}`") for c in docs.columns])
     keep = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)
     named = F.coalesce("row.lang", "lang_pred").alias("lang")
     return found.where(keep).select(*(named if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))

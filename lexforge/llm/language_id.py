@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, small_batches
@@ -210,14 +210,19 @@ def sample(docs: DataFrame, fold_of: int, held: int) -> list[tuple[str, str]]:
 
 
 def identify(docs: DataFrame, fold_of: int = 4, held: int = 2, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text; with carry: struct row of all
-    columns of docs, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score of every whole text; with carry: all columns of docs, then lang_pred, score
+    (where docs has columns of these names, identify_rows() keeps them apart)."""
+    held_out = (remainder("doc_id", fold_of) == held).alias("held_out")
+    columns = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col("doc_id").cast("long").alias("doc_id"), held_out]
+    return identify_rows(docs, columns, fold_of, held).select("row.*", "lang_pred", "score")
+
+
+def identify_rows(docs: DataFrame, columns: list[Column], fold_of: int = 4, held: int = 2) -> DataFrame:
+    """The given columns as struct ``row``, lang_pred and score of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
     net = spark.sparkContext.broadcast(train(sample(docs, fold_of, held)))
-    held_out = (remainder("doc_id", fold_of) == held).alias("held_out")
-    columns = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else [F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out).alias("row")]
-    rows = docs.select(*columns, F.col("text").alias("t"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = net.value
@@ -238,5 +243,4 @@ def identify(docs: DataFrame, fold_of: int = 4, held: int = 2, carry: bool = Fal
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(lang), pa.array(score)], ["row", "lang_pred", "score"])
 
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    out = rows.mapInArrow(run, schema)
-    return out if carry else out.select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, schema)

@@ -302,6 +302,12 @@ def test_language(spark, docs, edge, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_carries_columns(spark, docs, edge):
+    assert language_id.identify(docs, carry=True).columns == [*docs.columns, "lang_pred", "score"]
+    got = language_id.identify_rows(edge, [edge[c] for c in edge.columns])
+    assert got.columns == ["row", "lang_pred", "score"] and got.select("row.*").columns == edge.columns
+
+
 def test_tables_of_the_estimate_release_the_driver(spark):
     """Each written table of the estimate ends with a full collection on the driver."""
     beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
