@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
@@ -54,9 +55,25 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: plans, broadcasts and compiled classes of queries that have ended. A loop of
-    many queries else fills the whole heap with them, and only a full collection gives memory back to the system."""
+    """Has the driver collect its garbage (plans, broadcasts and compiled classes of queries that have ended) and then
+    give back to the system what its C library holds free. A loop of many queries else fills the whole heap, which only a
+    full collection gives back, and compilers and class loading leave hundreds of MB in the C library, which keeps them."""
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Has the C library of the driver's JVM give back its free memory; False where that JVM has no such command."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    types, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[i] = jvm.java.lang.Class.forName(name)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # by reflection: the server's own class is not open to callers
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

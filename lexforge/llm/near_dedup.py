@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, delete, discard, shared_dir, small, small_batches
+from .common import cut, delete, discard, release, shared_dir, small, small_batches
 
 K, SIMILARITY = 4, 80
 BANDS, ROWS = 30, 5
@@ -219,6 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = small.select(F.when(F.col("m") == F.col("t"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("t").alias("u")).where("u <> v")
         after = cut(after.select("u", "v").distinct(), "cc")
         discard(edges)
+        release(edges.sparkSession)
         edges = after
         # Done when every edge leads to a root and none has two: then it is a forest of stars.
         inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
@@ -241,6 +242,7 @@ def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame, know
 
     def keep(df: DataFrame, what: str) -> DataFrame:
         written.append(cut(df, what))
+        release(df.sparkSession)
         return written[-1]
 
     rows = classes.select("id", F.explode("bands").alias("band"))
@@ -292,6 +294,7 @@ def class_components(classes: DataFrame, whole: DataFrame, docs: DataFrame, know
 
 def near_duplicates(docs: DataFrame, size: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs, as a written table; shingles have ``size`` words."""
+    release(docs.sparkSession)
     sketches = cut(sketch_documents(docs, size), "dedup-sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     same = cut(named.groupBy("key").agg(F.min("doc_id").alias("id")), "dedup-classes")
