@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.tables import broadcast_if_few, written
+from . import tfidf as W
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -248,15 +249,18 @@ def distribution(rows: DataFrame, column: str, order: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
 
 
+def _word_lots(docs: DataFrame, key: str, text: str, least: int, most: float) -> tuple[DataFrame, DataFrame]:
+    words = F.regexp_extract_all(F.lower(X.strip_accents(F.col(text))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    lots = W.in_lots(docs, key, text, F.array_join(words, " "), F.lit(True))
+    return lots, W.idf_by_lot(lots, W.word_pairs, least, most)
+
+
 def word_tfidf(docs: DataFrame, key: str, text: str, least: int = 2, most: float = 0.95) -> DataFrame:
     """key, term, weight: words of two or more letters, digits or underscores and their bigrams, sublinear tf, smooth
     idf, L2 norm."""
-    words = F.regexp_extract_all(F.lower(X.strip_accents(F.col(text))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    d = docs.select(key, words.alias("w"))
-    grams = F.concat("w", F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    tf = written(d.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")
-    total = docs.agg(F.count("*").alias("total")).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most * total))
-    raw = tf.join(df, "term").withColumn("x", (1 + F.log("tf")) * (F.log((1 + total) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("x") / norm).alias("weight"))
+    return W.weights(*_word_lots(docs, key, text, least, most), W.word_pairs, key)
+
+
+def word_tops(docs: DataFrame, key: str, text: str, least: int = 2, most: float = 0.95) -> DataFrame:
+    """key, terms, top_weight: how many weights word_tfidf() gives a document, and the largest."""
+    return W.tops(*_word_lots(docs, key, text, least, most), W.word_pairs, key)
