@@ -75,6 +75,8 @@ DRAFTS = [
 ]
 #: A neutral colon rule for invented prose: up to four words, a colon, and what follows up to the end of the clause.
 NEUTRAL_DRAFTS = [("neutral colon", "", r"([A-Za-z0-9]+(?: [A-Za-z0-9]+){0,3}) ?: ([^;:.\n]{10,500})", {"term": 1, "definition": 2})]
+#: What any text that one of these span regexes matches holds, so that others are searched for this alone.
+NEEDED = {regex: word for label, _, regex, _ in DRAFTS + NEUTRAL_DRAFTS for word in [{"on entend par": "on entend par", "s'entend de": "s['’]entend", "défini comme": "défini", "est qualifié de": "qualifié", "sont qualifiés de": "qualifié", "est considéré comme": "considéré", "sont considérés comme": "considéré"}.get(label, ":")]}
 MOST_TERM_WORDS = {"terme_colon_definition": 12, "on entend par": 12, "s'entend de": 8}
 
 # The rule extractors, the first that gives a term and a definition wins (rule, regex, term groups, definition group).

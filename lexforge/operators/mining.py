@@ -59,22 +59,35 @@ def is_bad_colon_context(term: Column, body: Column) -> Column:
     return X.any_of([t.contains(s) for s in P.BAD_COLON_TERM_PARTS] + [b.contains(s) for s in P.BAD_COLON_BODY_PARTS] + [t.startswith(s) for s in P.BAD_COLON_STARTS]) | (X.word_total(term) > 12)
 
 
+SPANS = "array<struct<k:int,i:int,pattern:string,item_number:string,defined_subject:string,term_candidate:string,definition_candidate:string,raw_body:string>>"
+
+
 def extract_drafts(articles: DataFrame, text: str = "text", key: str = "id", drafts=P.DRAFTS) -> DataFrame:
     """One row per kept span: article columns, pattern, item_number, defined_subject, term_candidate,
     definition_candidate, raw_body, definition_type, extraction_confidence, scope and place (1, 2, ... within the article
     and the kind of pattern). Of the kept spans of equal article key,
     pattern, term and definition (nulls equal) the first in order of regex and place stays."""
-    body = X.normalize_space(F.col(text))
+    body, marks = F.col("__body"), ("\ue000", "\ue001")
 
     def spans_of(k: int, pattern: str, flags: str, regex: str, groups: dict[str, int]) -> Column:
+        whole = {"raw": 0} | groups
         each = lambda n: F.regexp_extract_all(body, F.lit(flags + regex), F.lit(n))
-        zipped = F.arrays_zip(each(0).alias("raw"), *(each(i).alias(n) for n, i in groups.items()))
+        zipped = F.arrays_zip(*(each(i).alias(n) for n, i in whole.items()))
+        # One pass gives all groups between marks; a text that has the marks itself takes a pass a group.
+        marked = F.regexp_replace(body, flags + regex, marks[0] + marks[1].join(f"${i}" for i in whole.values()) + marks[0])
+        cut = F.split(marked, marks[0])
+        at = F.filter(cut, lambda x, i: i % 2 == 1)
+        once = F.transform(at, lambda x: F.struct(*(F.get(F.split(x, marks[1]), F.lit(j)).alias(n) for j, n in enumerate(whole))))
+        found = F.when(F.rlike(body, F.lit(f"[{''.join(marks)}]")), zipped).otherwise(once)
         pick = lambda x, n: X.clean_span(x[n]) if n in groups else F.lit(None).cast("string")
         meaning = lambda x: X.truncate_at_boundary(x["definition"], 800) if pattern == "on entend par" else X.clean_span(x["definition"])
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(pattern).alias("pattern"), pick(x, "item").alias("item_number"), pick(x, "subject").alias("defined_subject"), pick(x, "term").alias("term_candidate"), meaning(x).alias("definition_candidate"), X.clean_span(x["raw"]).alias("raw_body")))
+        made = F.transform(found, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(pattern).alias("pattern"), pick(x, "item").alias("item_number"), pick(x, "subject").alias("defined_subject"), pick(x, "term").alias("term_candidate"), meaning(x).alias("definition_candidate"), X.clean_span(x["raw"]).alias("raw_body")))
+        needed = P.NEEDED.get(regex)
+        return F.when(F.rlike(body, F.lit(P.SPAN_FLAGS + needed)), made) if needed else made
 
-    found = [spans_of(k, *draft) for k, draft in enumerate(drafts)]
-    d = articles.withColumn("d", F.explode(F.concat(*found))).select(*articles.columns, "d.*")
+    found = [F.coalesce(s, F.array().cast(SPANS)) for s in (spans_of(k, *draft) for k, draft in enumerate(drafts))]
+    spaced = articles.withColumn("__body", F.explode(F.array(X.normalize_space(F.col(text)))))  # explode: one copy of the text
+    d = spaced.withColumn("d", F.explode(F.concat(*found))).select(*articles.columns, "d.*")
     term, words = F.col("term_candidate"), X.word_total(F.col("term_candidate"))
     most = F.coalesce(*(F.when(F.col("pattern") == p, n) for p, n in P.MOST_TERM_WORDS.items()), F.lit(10))
     good = term.isNotNull() & F.col("definition_candidate").isNotNull() & (F.col("definition_candidate") != "") & F.col("raw_body").isNotNull() & ~is_bad_term(term) & (words <= most)
