@@ -29,9 +29,9 @@ def written(df: DataFrame, what: str, schema: StructType | None = None) -> DataF
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
-def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df``, a written table of short rows, marked for broadcast if it has at most ``most`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def is_few(df: DataFrame, most: int = 100_000) -> bool:
+    """Whether ``df``, a written table of short rows, has at most ``most`` rows and so can be broadcast."""
+    return df.limit(most + 1).count() <= most
 
 
 def running_index(rows: DataFrame, order: str, name: str, lot: int = 1 << 16) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.tables import broadcast_if_few, written
+from ..functions.tables import is_few, written
 from . import tfidf as W
 
 
@@ -45,21 +45,26 @@ def exclude_terms(rows: DataFrame, row_id: str, text: str, terms: DataFrame, cod
     of the same ``code`` where one is named (compared as keys; a blank one matches nothing). Any white space or mark
     stands between words; terms of under ``least`` characters are no terms.
 
-    A term is an n-gram of bare words, so only n-grams of the lengths that occur among the terms are joined, by equality.
-    A list that a count shows to be short is broadcast, so that no n-gram leaves its task; a long one is shuffled.
+    A term is an n-gram of bare words. Where a count shows the list to be short it is broadcast: each word of a text meets
+    the terms that begin with it, and the words that follow are compared. A long list is shuffled, to be joined by
+    equality with the n-grams of the lengths that occur in it.
     """
     same = X.normalize_key(F.col(code)) if code else F.lit("*")
     words = X.bare_words(F.col("term"))
     known = terms.select(same.alias("__c"), F.array_join(words, " ").alias("__t"), F.size(words).alias("__n")).where((F.length("__t") >= least) & (F.col("__c") != "")).distinct()
-    known = broadcast_if_few(written(known, "terms"))
-    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())
+    known = written(known, "terms")
+    few = is_few(known)
     d = rows.select(row_id, same.alias("__c"), X.bare_words(F.col(text)).alias("__w")).where(F.col("__c") != "")
-    gram = lambda n: F.expr(f"CASE WHEN size(__w) >= {n} THEN array_distinct(transform(sequence(1, size(__w) - {n - 1}), i -> array_join(slice(__w, i, {n}), ' '))) ELSE array() END")
-    if lengths:
-        d = d.select(row_id, "__c", F.explode(F.concat(*map(gram, lengths))).alias("__t"))
+    if few:
+        first = known.withColumn("__f", F.split_part("__t", F.lit(" "), F.lit(1)))
+        at = d.select(row_id, "__c", "__w", F.posexplode("__w").alias("__p", "__f"))
+        hit = at.join(F.broadcast(first), ["__c", "__f"]).where(F.array_join(F.slice("__w", F.col("__p") + 1, F.col("__n")), " ") == F.col("__t"))
     else:
-        d = d.select(row_id, "__c", F.lit("").alias("__t")).limit(0)
-    hit = d.join(known.select("__c", "__t"), ["__c", "__t"]).groupBy(row_id).agg(F.array_sort(F.collect_set(F.struct((-F.length("__t")).alias("n"), F.col("__t").alias("t")))).alias("x"))
+        lengths = sorted(r[0] for r in known.select("__n").distinct().collect())
+        gram = lambda n: F.expr(f"CASE WHEN size(__w) >= {n} THEN array_distinct(transform(sequence(1, size(__w) - {n - 1}), i -> array_join(slice(__w, i, {n}), ' '))) ELSE array() END")
+        d = d.select(row_id, "__c", F.explode(F.concat(*map(gram, lengths))).alias("__t"))
+        hit = d.join(known.select("__c", "__t"), ["__c", "__t"])
+    hit = hit.groupBy(row_id).agg(F.array_sort(F.collect_set(F.struct((-F.length("__t")).alias("n"), F.col("__t").alias("t")))).alias("x"))
     hit = hit.select(row_id, F.col("x.t").alias("matched_terms"))
     return rows.join(hit, row_id, "left_anti"), rows.join(hit, row_id)
 

@@ -1,6 +1,7 @@
 """Steps that must not grow beyond their input: what a plan repeats, and the same results on odd rows."""
 
 from lexforge.functions import patterns as P
+from lexforge.operators import curation as C
 from lexforge.operators import mining as M
 
 
@@ -16,3 +17,19 @@ def test_drafts_normalise_a_text_once(spark):
     assert plan(d).count("translate(text#") == 1
     own = [("x", "", "(e)(d)?", {"term": 1, "definition": 2})]
     assert M.extract_drafts(spark.createDataFrame(rows, "id int, text string"), drafts=own).count() > 0
+
+
+def test_short_list_of_terms_makes_no_ngrams(spark):
+    rows = spark.createDataFrame([(1, "A", "Été bleu, été  bleu clair"), (2, "B", "été bleu"), (3, "A", "bleu"), (4, "", "été bleu"), (5, "A", None), (6, "A", "clair été")], "id int, code string, t string")
+    terms = spark.createDataFrame([("été bleu", "a"), ("Été bleu clair", "A"), ("bleu clair", "A"), ("clair ete bleu", "A"), ("été", "B"), ("bl", "A"), (None, "A")], "term string, code string")
+    kept, gone = C.exclude_terms(rows, "id", "t", terms, "code")
+    assert {r["id"]: r["matched_terms"] for r in gone.collect()} == {1: ["ete bleu clair", "bleu clair", "ete bleu"], 2: ["ete"]}
+    assert {r["id"] for r in kept.collect()} == {3, 4, 5, 6} and "sequence(" not in plan(gone)
+    assert C.exclude_terms(rows, "id", "t", terms.limit(0), "code")[1].count() == 0
+
+
+def test_long_list_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(C, "is_few", lambda df: False)
+    rows = spark.createDataFrame([(1, "été bleu clair"), (2, "bleu")], "id int, t string")
+    terms = spark.createDataFrame([("bleu clair",), ("été",)], "term string")
+    assert [(r["id"], r["matched_terms"]) for r in C.exclude_terms(rows, "id", "t", terms)[1].collect()] == [(1, ["bleu clair", "ete"])]
