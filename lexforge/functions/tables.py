@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,13 @@ def written(df: DataFrame, what: str, schema: StructType | None = None) -> DataF
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def held(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds ``columns``, each made once a row: a generator holds them, where the optimiser would repeat those of a
+    projection in each filter and each use."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.select("*", made.alias("__held")).select(*(F.col(f"`{c}`") for c in rows.columns if c not in columns), *(F.col(f"__held.{n}").alias(n) for n in columns))
+
+
 def is_few(df: DataFrame, most: int = 100_000) -> bool:
     """Whether ``df``, a written table of short rows, has at most ``most`` rows and so can be broadcast."""
     return df.limit(most + 1).count() <= most

@@ -13,18 +13,18 @@ from . import patterns as P
 
 def normalize_space(c: Column) -> Column:
     """No-break spaces become spaces, line separators newlines; blanks collapse; no white space around a newline."""
-    c = F.translate(c, "   ", " \n\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\r\f\x0b]+", " "), r"\s*\n\s*", "\n")
-    return F.btrim(c, F.lit(" \n\t\r"))
+    c = F.regexp_replace(F.regexp_replace(c, r"[\u2028\u2029]", "\n"), r"[ \xa0\t\r\f\x0b]{2,}|[\xa0\t\r\f\x0b]", " ")  # not each single space
+    return F.btrim(F.regexp_replace(c, r"\s*\n\s*", "\n"), F.lit(" \n\t\r"))
 
 
 def clean_flat(c: Column) -> Column:
     """All white space to one space, curly apostrophe to straight; null to the empty text."""
-    return F.btrim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), " ’", " '"), r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("’"), F.lit("'")), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def clean_text(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(normalize_space(c), "\n{3,}", "\n\n"), F.lit(""))
+    """normalize_space(), which leaves no two newlines together; null if that is empty."""
+    return F.nullif(normalize_space(c), F.lit(""))
 
 
 def clean_span(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.tables import is_few, written
+from ..functions.tables import held, is_few, written
 from . import tfidf as W
 
 
@@ -160,40 +160,44 @@ def merge_versions(rows: DataFrame, exact: Column, coarse: Column, order: list,
     """Adds keep and reason (first, exact_duplicate, same_article_term): a greedy pass in ``order`` keeps a row unless a
     kept one has its exact or its coarse key. Where equal exact keys have equal coarse keys, which is checked, that is the
     first row of each coarse key; elsewhere rounds settle it. ``originals`` adds that column of the kept row as original."""
-    tagged = rows.withColumn("__c", coarse).withColumn("__e", exact)
-    if originals is not None:
-        tagged = tagged.withColumn("__o", originals)
-    if tagged.groupBy("__e").agg(F.min_by(F.struct("__c"), F.struct("__c")).alias("a"), F.max_by(F.struct("__c"), F.struct("__c")).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).head(1):
-        return _merge_in_rounds(tagged, order)
-    w = Window.partitionBy("__c").orderBy(*order)
+    digest = lambda c: F.unhex(F.sha2(F.to_json(F.struct(c.alias("k"))), 256))
+    by = {f"__by{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    more = {} if originals is None else {"__o": originals}
+    tagged = held(rows, {"__c": digest(coarse), "__e": digest(exact)}).withColumns(by | more).withColumn("__id", F.monotonically_increasing_id())
+    tagged = written(tagged, "merge")
+    slim = tagged.select("__id", "__c", "__e", *by, *more)
+    if slim.groupBy("__e").agg(F.min("__c").alias("a"), F.max("__c").alias("b")).where("a <> b").head(1):
+        found = written(_merge_in_rounds(slim, list(by)), "merge-found")
+        return tagged.join(found, "__id").drop("__c", "__e", "__id", *by, *more)
+    w = Window.partitionBy("__c").orderBy(*by)
     tagged = tagged.withColumn("__n", F.row_number().over(w)).withColumn("__f", F.first("__e").over(w))
-    reason = F.when(F.col("__n") == 1, "first").when(F.col("__e").eqNullSafe(F.col("__f")), "exact_duplicate").otherwise("same_article_term")
+    reason = F.when(F.col("__n") == 1, "first").when(F.col("__e") == F.col("__f"), "exact_duplicate").otherwise("same_article_term")
     if originals is not None:
         tagged = tagged.withColumn("original", F.when(F.col("__n") > 1, F.first("__o").over(w)))
-    return tagged.withColumn("reason", reason).withColumn("keep", F.col("__n") == 1).drop("__c", "__e", "__n", "__f", "__o")
+    return tagged.withColumn("reason", reason).withColumn("keep", F.col("__n") == 1).drop("__c", "__e", "__n", "__f", "__id", *by, *more)
 
 
-def _merge_in_rounds(tagged: DataFrame, order: list) -> DataFrame:
-    """Each round keeps the open rows that are first of the open rows of both their keys and drops what shares a key with
-    them; the first open row of all is always one, so the rounds end with the choice of the sequential pass. Tables of a
-    round are written to the shared folder."""
-    tagged = written(tagged.withColumn("__id", F.monotonically_increasing_id()), "merge")
+def _merge_in_rounds(rows: DataFrame, order: list[str]) -> DataFrame:
+    """__id, keep, reason and, where there is __o, original of ``rows`` (__id, digests of both keys, order). Each round
+    keeps the open rows that are first of the open rows of both their keys and drops what shares a key with them; the
+    first open row of all is always one, so the rounds end with the choice of the sequential pass. Tables of a round are
+    written to the shared folder."""
     by = lambda k: Window.partitionBy(k).orderBy(*order, "__id")
     over = lambda c, k: F.max(c).over(Window.partitionBy(k))
-    kept, left = tagged.select("__id").limit(0), tagged
+    kept, left = rows.select("__id").limit(0), rows.select("__id", "__c", "__e", *order)
     while left.head(1):
         ranked = left.withColumn("__first", (F.row_number().over(by("__e")) == 1) & (F.row_number().over(by("__c")) == 1))
         ranked = written(ranked.withColumn("__gone", over("__first", "__e") | over("__first", "__c")), "merge-round")
         kept = kept.unionByName(ranked.where("__first").select("__id"))
-        left = ranked.where(~F.col("__gone")).select(*tagged.columns)
-    out = tagged.join(kept.withColumn("keep", F.lit(True)), "__id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+        left = ranked.where(~F.col("__gone")).select("__id", "__c", "__e", *order)
+    out = rows.join(kept.withColumn("keep", F.lit(True)), "__id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
     known = F.max("keep").over(by("__e").rowsBetween(Window.unboundedPreceding, -1))
-    reason = F.when(F.col("keep"), "first").when(known, "exact_duplicate").otherwise("same_article_term")
-    out = out.withColumn("reason", reason)
-    if "__o" in out.columns:
-        of = lambda k: over(F.when(F.col("keep"), F.col("__o")), k)
-        out = out.withColumn("__x", of("__e")).withColumn("__y", of("__c")).withColumn("original", F.when(F.col("reason") == "exact_duplicate", F.col("__x")).when(~F.col("keep"), F.col("__y")))
-    return out.drop("__c", "__e", "__id", "__o", "__x", "__y")
+    out = out.withColumn("reason", F.when(F.col("keep"), "first").when(known, "exact_duplicate").otherwise("same_article_term"))
+    if "__o" not in out.columns:
+        return out.select("__id", "keep", "reason")
+    of = lambda k: over(F.when(F.col("keep"), F.col("__o")), k)
+    out = out.withColumn("__x", of("__e")).withColumn("__y", of("__c"))
+    return out.select("__id", "keep", "reason", F.when(F.col("reason") == "exact_duplicate", F.col("__x")).when(~F.col("keep"), F.col("__y")).alias("original"))
 
 
 def missing_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.tables import running_index
+from ..functions.tables import running_index, written
 from . import curation as C
 
 
@@ -50,9 +50,11 @@ def standardize(rows: DataFrame, source: str) -> DataFrame:
         "definition_type": F.coalesce(clean("definition_type", "gold_definition_type"), F.lit("explicit")),
         "annotation_source": F.col(source), "previous_definition_id": clean("previous_definition_id", "definition_id"),
     }
-    reason = F.coalesce(skip_reason(given(rows, "manual_label"), F.col(source)), F.when(made["term"].isNull() | made["definition"].isNull(), "missing_term_or_definition"))
     extra = [c for c in ("correction_status", "issue_reasons", "extraction_confidence") if c in rows.columns]
-    return rows.select(*(c.alias(n) for n, c in made.items()), "row_idx", reason.alias("skip_reason"), *extra)
+    reviewed = skip_reason(given(rows, "manual_label"), F.col(source)).alias("__reviewed")
+    whole = rows.select("row_idx", *extra, reviewed, F.explode(F.array(F.struct(*(c.alias(n) for n, c in made.items())))).alias("__made"))
+    reason = F.coalesce("__reviewed", F.when(F.col("__made.term").isNull() | F.col("__made.definition").isNull(), "missing_term_or_definition"))
+    return whole.select("__made.*", "row_idx", reason.alias("skip_reason"), *extra)
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def merge_sources(sources: list[tuple[str, DataFrame]], prefix: str = "NORMDEF_F
     skipped), reason and, for a duplicate, the row it duplicates (original_source, original_idx). Merged rows get ids in
     order; their former ids stay in previous_definition_id."""
     parts = [standardize(rows.withColumn("__source", F.lit(name)), "__source").withColumn("__rank", F.lit(k)) for k, (name, rows) in enumerate(sources)]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "merge-sources")
     kept = C.merge_versions(rows.where("skip_reason is null"), exact_key(), article_term_key(), [F.col("__rank"), F.col("row_idx")], originals=F.struct(F.col("annotation_source").alias("source"), F.col("row_idx").alias("idx")))
     why = {"exact_duplicate": "exact_article_term_definition_duplicate", "same_article_term": "existing_source_code_article_number_term"}
     kept = kept.withColumn("route", F.when(F.col("keep"), "merged").otherwise("duplicate")).withColumn("reason", F.coalesce(*(F.when(F.col("reason") == k, v) for k, v in why.items())))
