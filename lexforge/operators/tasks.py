@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.tables import running_index
+from ..functions.tables import held, running_index, written
 from . import curation as C
 from .records import article_key, given
 
@@ -46,20 +46,20 @@ def candidate_examples(reviewed: DataFrame, file: str, order: str = "row_idx") -
 
 
 def _numbered(rows: DataFrame, order: str, prefix: str, text: Column, label: str, binary: int, origin: str) -> DataFrame:
-    n = running_index(rows, order, "__index")
-    made = n.select(F.concat(F.lit(prefix), F.lpad(F.col("__index").cast("string"), 5, "0")).alias("example_id"), text.alias("input_text"), F.lit(label).alias("label"), F.lit(binary).alias("binary_label"), F.col("__key").alias("article_key"), *_cleaned(rows, *KEPT), F.lit(origin).alias("origin"), "__index")
-    return made
+    slim = written(rows.select(F.col(order).alias("__order"), text.alias("input_text"), "__key", *_cleaned(rows, *KEPT)), "numbered")
+    n = running_index(slim, "__order", "__index")
+    return n.select(F.concat(F.lit(prefix), F.lpad(F.col("__index").cast("string"), 5, "0")).alias("example_id"), "input_text", F.lit(label).alias("label"), F.lit(binary).alias("binary_label"), F.col("__key").alias("article_key"), *KEPT, F.lit(origin).alias("origin"), "__index")
 
 
 def article_examples(gold: DataFrame, candidates: DataFrame, order: str = "row_idx", share: float = 1.2) -> DataFrame:
     """The first body of each gold article (positive), and the first candidates, at most ``share`` times as many, that are
     no gold article and have a text (negative)."""
-    rows = gold.withColumn("__key", article_key(gold)).where(X.clean_text(given(gold, "raw_body")).isNotNull())
-    positive = _numbered(C.first_per_key(rows, ["__key"], [F.col(order)]), order, "article_pos_", X.clean_text(given(gold, "raw_body")), "definition_article", 1, "gold_positive")
+    rows = held(gold.withColumn("__key", article_key(gold)), {"__text": X.clean_text(given(gold, "raw_body"))}).where("__text is not null")
+    positive = _numbered(C.first_per_key(rows, ["__key"], [F.col(order)]), order, "article_pos_", F.col("__text"), "definition_article", 1, "gold_positive")
     text = X.clean_text(F.coalesce(F.nullif(given(candidates, "text"), F.lit("")), given(candidates, "raw_body")))
-    others = candidates.withColumn("__key", article_key(candidates)).where(text.isNotNull()).join(rows.select("__key").distinct(), "__key", "left_anti")
+    others = held(candidates.withColumn("__key", article_key(candidates)), {"__text": text}).where("__text is not null").join(positive.select(F.col("article_key").alias("__key")), "__key", "left_anti")
     most = positive.agg(F.floor(F.count("*") * share).alias("n")).scalar()
-    negative = _numbered(others, order, "article_neg_", text, "non_definition_article", 0, "low_clean_candidate_not_in_gold").where(F.col("__index") <= most)
+    negative = _numbered(others, order, "article_neg_", F.col("__text"), "non_definition_article", 0, "low_clean_candidate_not_in_gold").where(F.col("__index") <= most)
     return positive.unionByName(negative).drop("__index")
 
 
