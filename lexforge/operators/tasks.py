@@ -37,12 +37,13 @@ def candidate_examples(reviewed: DataFrame, file: str, order: str = "row_idx") -
     own = F.coalesce(X.clean_text(given(reviewed, "candidate_definition_id")), X.clean_text(given(reviewed, "definition_id")), F.concat_ws(":", F.col(file), F.col(order).cast("string")))
     rows = reviewed.withColumn("manual_label", label).where(F.col("manual_label").isin(*P.ACCEPTED_LABELS, "invalid")).withColumn("example_id", own)
     rows = C.first_per_key(rows, ["example_id"], [F.col(order)])
-    pick = lambda *names: X.clean_text(X.first_non_empty(*(given(reviewed, n) for n in names)))
-    term, definition, body = pick("term_candidate", "term", "gold_term"), pick("definition_candidate", "definition", "gold_definition"), pick("raw_body")
+    pick = lambda *names: F.coalesce(*(X.clean_text(given(reviewed, n)) for n in names))
+    rows = held(rows, {"__term": pick("term_candidate", "term", "gold_term"), "__definition": pick("definition_candidate", "definition", "gold_definition"), "__body": pick("raw_body")})
+    term, definition, body = F.col("__term"), F.col("__definition"), F.col("__body")
     text = F.concat_ws("\n", F.concat(F.lit("TERM: "), term), F.concat(F.lit("DEFINITION: "), definition), F.concat(F.lit("CONTEXT: "), body))
     accepted = F.col("manual_label").isin(*P.ACCEPTED_LABELS)
-    made = rows.select("example_id", F.lit("candidate_validation").alias("task"), text.alias("input_text"), term.alias("candidate_term"), definition.alias("candidate_definition"), body.alias("raw_body"), F.when(accepted, "accepted").otherwise("invalid").alias("label"), accepted.cast("int").alias("binary_label"), "manual_label", article_key(reviewed).alias("article_key"), *_cleaned(reviewed, "source_code", "article_number", "article_id", "pattern", "definition_type"), F.col(file).alias("source_review_file"))
-    return made.where("input_text <> ''")
+    made = rows.where(F.coalesce(term, definition, body).isNotNull())
+    return made.select("example_id", F.lit("candidate_validation").alias("task"), text.alias("input_text"), term.alias("candidate_term"), definition.alias("candidate_definition"), body.alias("raw_body"), F.when(accepted, "accepted").otherwise("invalid").alias("label"), accepted.cast("int").alias("binary_label"), "manual_label", article_key(reviewed).alias("article_key"), *_cleaned(reviewed, "source_code", "article_number", "article_id", "pattern", "definition_type"), F.col(file).alias("source_review_file"))
 
 
 def _numbered(rows: DataFrame, order: str, prefix: str, text: Column, label: str, binary: int, origin: str) -> DataFrame:
