@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexforge.operators import models as L
@@ -28,3 +29,7 @@ def test_lots(spark, monkeypatch, terms, lot):
     want = {r[0]: (r[1], r[2]) for r in L.tfidf(d, L.term_idf(whole, "id", made), "id", made).groupBy("id").agg(F.count("*"), F.max("weight")).collect()}
     got = {r["id"]: (r["terms"], r["top_weight"]) for r in L.top_weights(d, "id", "t", terms).collect()}
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
+
+
+def test_workers_need_no_package():
+    assert W.__name__ in cloudpickle.list_registry_pickle_by_value()
